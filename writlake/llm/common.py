@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -213,3 +214,15 @@ def token_ids(path: str, boundary: str) -> TokenIds:
     if (path, boundary) not in _tokenizers:
         _tokenizers[path, boundary] = TokenIds(path, boundary)
     return _tokenizers[path, boundary]
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file; the files are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def held_out_column(key: str, modulus: int, rest: int) -> Column:
+    """Whether crc32 of the key's text leaves ``rest``; false for null."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == rest, F.lit(False))

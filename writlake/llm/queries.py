@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from writlake.llm import feistel, isobmff, lm_bloom
+from writlake.llm import feistel, isobmff, lm_bloom, mixing, packing, toxicity, vamana
+from writlake.llm.common import held_out_column, tokenizer_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +19,36 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out_column("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard_rows(table(spark, sf_dir, "documents"), n_shards=16, seed=20_240_601)
 
 
+def op9_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isobmff.text_media_features(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op5_feistel_shards, op10_media_columns)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_toxicity, op3_pack_documents, op4_mix_sources, op5_feistel_shards, op9_graph_neighbours, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_sources": mixing.oracle_sql()}
