@@ -41,9 +41,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{prepare(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write the table, in folders ``by`` some columns, and read it."""
         path = f"{self.base}/{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -93,6 +94,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, for rows that hold a whole block."""
+    raw = b"".join(len(x).to_bytes(8, "little") + x.dtype.str.encode().ljust(8) + x.tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        n, kind = int.from_bytes(raw[at : at + 8], "little"), np.dtype(raw[at + 8 : at + 16].decode().strip())
+        out.append(np.frombuffer(raw, kind, n, at + 16))
+        at += 16 + n * kind.itemsize
+    return out
+
+
+def delta(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, byte planes apart, which compress."""
+    d = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).reshape(-1)
+
+
+def undelta(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a piece holds about ``most`` bytes of the column, one row at least."""
     for batch in batches:

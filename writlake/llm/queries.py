@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from writlake.llm import feistel, isobmff, lm_bloom, mixing, packing, toxicity, vamana
+from writlake.llm import feistel, isobmff, lm_bloom, mixing, packing, runlength_index, toxicity, vamana
 from writlake.llm.common import held_out_column, tokenizer_file
 
 
@@ -38,6 +38,10 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard_rows(table(spark, sf_dir, "documents"), n_shards=16, seed=20_240_601)
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlength_index.dedup(table(spark, sf_dir, "documents"), least=400)
+
+
 def op9_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +51,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op2_toxicity, op3_pack_documents, op4_mix_sources, op5_feistel_shards, op9_graph_neighbours, op10_media_columns)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_toxicity, op3_pack_documents, op4_mix_sources, op5_feistel_shards, op8_repeated_strings, op9_graph_neighbours, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
