@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from writlake.llm import feistel, isobmff, jaccard, lm_bloom, mixing, packing, runlength_index, toxicity, vamana
+from writlake.llm import feistel, isobmff, jaccard, lm_bloom, mixing, packing, range_coder, runlength_index, toxicity, vamana
 from writlake.llm.common import held_out_column, tokenizer_file
 
 
@@ -42,6 +42,10 @@ def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_coder.written_and_read(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlength_index.dedup(table(spark, sf_dir, "documents"), least=400)
 
@@ -55,7 +59,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op2_toxicity, op3_pack_documents, op4_mix_sources, op5_feistel_shards, op6_jaccard_components, op8_repeated_strings, op9_graph_neighbours, op10_media_columns)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_toxicity, op3_pack_documents, op4_mix_sources, op5_feistel_shards, op6_jaccard_components, op7_id_files, op8_repeated_strings, op9_graph_neighbours, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
