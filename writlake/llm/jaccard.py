@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from writlake.llm.common import Scratch, coded_words, mix64, prepare, segment_sums, slices
+from writlake.llm.common import WORD, Scratch, coded_words, mix64, prepare, segment_sums, slices
 
 SKETCH_BITS, SEGMENTS, SALTS = 20, 16, 16
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -240,3 +240,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     named = classes.join(names, "comp").select("cls", "component_id", "comp")
     out = texts.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_key", "comp")
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows without near duplicates: of each component the row of the smallest id stays, and every row without words."""
+    found = near_duplicates(docs, words, num, den)
+    first = found.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
+    stay = first.select(F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.none").alias("__none"), F.col("k.text_key").alias("__text"))
+    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    empty = F.col("text").isNull() | ~F.col("text").rlike(WORD)
+    kept = keyed.where(~empty).join(stay, ["__id", "__none", "__text"], "left_semi").dropDuplicates(["__id", "__none", "__text"])
+    return kept.unionByName(keyed.where(empty)).select(*docs.columns)

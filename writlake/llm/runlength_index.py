@@ -373,3 +373,22 @@ def dedup(docs: DataFrame, least: int = 400, block_bytes: int = 1_500_000, label
         whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
         columns |= {"spans": F.when(gone, whole).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"))), "kept": F.when(gone, F.lit(b"")).otherwise(F.col("kept"))}
     return out.select("doc_id", "n_bytes", *(c.alias(n) for n, c in columns.items()))
+
+
+def remove_repeats(docs: DataFrame, least: int = 400, block_bytes: int = 1_500_000, label_bytes: int = 6_000_000) -> DataFrame:
+    """The rows with the marked bytes cut out of ``text`` (a character that a cut splits goes with it); all other columns stay."""
+    spark = docs.sparkSession
+    prepare(spark)
+    texts, held, spans = repeated_spans(docs, least, block_bytes, label_bytes, Scratch(spark, "runs"))
+    lists = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in clean_texts(batches):
+            kept = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+            yield pa.record_batch({"__key": batch.column("key"), "__kept": pa.array(kept, pa.string())})
+
+    cleaned = held.join(lists, "key").mapInArrow(whole_characters, "__key long, __kept string")
+    copies = texts.where(F.col("n_bytes") >= least).groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("n")).where("n > 1").select("__key", F.lit("").alias("__kept"))
+    changed = copies.unionByName(cleaned.join(copies.select("__key"), "__key", "left_anti"))
+    out = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")))).join(changed, "__key", "left")
+    return out.withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns)
