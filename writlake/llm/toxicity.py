@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from writlake.llm.common import prepare, ranges, slices, split_words
+from writlake.llm.common import Scratch, prepare, ranges, slices, split_words
 
 #: Identity terms by kind; a swap stays within a kind and a grammatical number.
 IDENTITY_TERMS = (
@@ -72,62 +72,85 @@ def counterfactuals(words: set[str]) -> list[set[str]]:
     return [words - {x} | {y} for kind in IDENTITY_TERMS for x in kind if x in words for y in kind if y not in words]
 
 
-def train(rows: list[tuple[set[str], int]], fairness: float = 1.0, ridge: float = 0.02, least: int = 5, evidence: float = 3.0, steps: int = 250) -> Model:
-    """Fit on (words, label); features are those in ``least`` rows whose label rate departs by ``evidence`` deviations."""
-    if not rows:
-        return Model()
-    y = np.array([x[1] for x in rows], float)
-    sets = [{f for w in words for f in word_features(w)} for words, _ in rows]
-    seen, toxic = Counter(), Counter()
-    for s, label in zip(sets, y, strict=True):
-        seen.update(s)
-        if label:
-            toxic.update(s)
+def train(labels: np.ndarray, rows: list[np.ndarray], swaps: list[list[np.ndarray]], features: int, fairness: float = 1.0, ridge: float = 0.02, steps: int = 250) -> tuple[float, np.ndarray]:
+    """Bias and weights from each text's label, its features' places, and those of its swapped copies."""
+
+    def matrix(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(some)), [len(c) for c in some]), np.concatenate([*some, np.zeros(0, np.int64)]).astype(np.int64)
+
+    n, y = len(rows), np.asarray(labels, float)
     rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
-    identity = {f for kind in IDENTITY_TERMS for x in kind for f in word_features(x)}
-    chosen = [f for f, n in seen.items() if n >= least and abs(toxic[f] - n * rate) >= evidence * np.sqrt(n * rate * (1 - rate) + 0.25) or f in identity]
-    index = {f: i for i, f in enumerate(sorted(chosen))}
-
-    def matrix(some: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [np.array(sorted(index[f] for f in s if f in index), np.int64) for s in some]
-        return np.repeat(np.arange(len(some)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int64)])
-
-    r, c = matrix(sets)
-    swaps = [(i, z) for i, (words, _) in enumerate(rows) for z in counterfactuals(words)]
-    origin = np.array([i for i, _ in swaps], np.int64)
-    r2, c2 = matrix([{f for w in z for f in word_features(w)} for _, z in swaps])
-    n, k, m = len(rows), len(index), len(swaps)
-    w, b = np.zeros(k), float(np.log(rate / (1 - rate)))
+    origin = np.array([i for i, x in enumerate(swaps) for _ in x], np.int64)
+    (r, c), (r2, c2), m = matrix(rows), matrix([z for x in swaps for z in x]), len(origin)
+    w, b = np.zeros(features), float(np.log(rate / (1 - rate)))
     # Adam on the mean log loss, the mean squared change of the logit under swaps, and a ridge.
-    moment, square = np.zeros(k + 1), np.zeros(k + 1)
+    moment, square = np.zeros(features + 1), np.zeros(features + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(r, w[c], n)
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.bincount(c, e[r], k) + ridge * w / n
+        g = np.bincount(c, e[r], features) + ridge * w / n
         if m:
             d = fairness * 2 * (z[origin] - b - np.bincount(r2, w[c2], m)) / m
-            e2 = np.bincount(origin, d, n)
-            g += np.bincount(c, e2[r], k) - np.bincount(c2, d[r2], k)
+            g += np.bincount(c, np.bincount(origin, d, n)[r], features) - np.bincount(c2, d[r2], features)
         g = np.append(g, e.sum())
         moment, square = 0.9 * moment + 0.1 * g, 0.99 * square + 0.01 * g * g
         step = 0.15 * moment / (1 - 0.9**t) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    return Model(float(b), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3})
+    return float(b), w
+
+
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of a task's piece hold a feature, and how many of them are toxic."""
+    for batch in slices(batches):
+        seen, toxic = Counter(), Counter()
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            own = {f for w in text_words(text) for f in word_features(w)}
+            seen.update(own)
+            if label:
+                toxic.update(own)
+        yield pa.record_batch({"feature": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64()), "toxic": pa.array([toxic[f] for f in seen], pa.int64())})
+
+
+def design(places):
+    """Of each text the label, its chosen features' places, and those of each copy with a term swapped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = places.value
+        at = lambda words: sorted({index[f] for w in words for f in word_features(w) if f in index})
+        for batch in slices(batches):
+            words = list(map(text_words, batch.column("text").to_pylist()))
+            lists = pa.list_(pa.int32())
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "own": pa.array(list(map(at, words)), lists), "swapped": pa.array([list(map(at, counterfactuals(x))) for x in words], pa.list_(lists))})
+
+    return run
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int, rest: int, most: int) -> list[tuple[set[str], int]]:
-    """At most ``most`` labelled rows, those of the smallest hashes of their id, outside the held-out ids."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int, rest: int, most: int) -> DataFrame:
+    """At most ``most`` labelled ids, those of the smallest hashes, outside the held-out ids, with a text of each."""
     ids = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != rest)
-    ids = ids.groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic"))
-    words = F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), r"\s+")), "\n")
-    return [(text_words(x.words), int(x.toxic >= 0.5)) for x in rows.select(words.alias("words"), "toxic", "doc_id").orderBy("doc_id").toLocalIterator()]
+    ids = ids.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int = 2, most: int = 16_000, fairness: float = 1.0) -> Model:
-    """Train on a sample of at most ``most`` labelled rows, whose words are what the driver holds."""
-    prepare(docs.sparkSession)
-    return train(labelled_sample(docs, labels, modulus, rest, most), fairness)
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, rest: int = 2, most: int = 16_000, fairness: float = 1.0, least: int = 5, evidence: float = 3.0) -> Model:
+    """Train on at most ``most`` labelled rows. Features are those in ``least`` of them whose label rate departs by ``evidence`` deviations, and the identity terms'."""
+    spark = docs.sparkSession
+    prepare(spark)
+    sample = Scratch(spark, "toxicity").keep(labelled_sample(docs, labels, modulus, rest, most), "sample")
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
+        return Model()
+    rate = toxic / n
+    counts = sample.select("text", "toxic").mapInArrow(count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = counts.where((F.col("n") >= least) & (F.abs(F.col("toxic") - F.col("n") * rate) >= evidence * F.sqrt(F.col("n") * rate * (1 - rate) + 0.25)))
+    identity = {f for kind in IDENTITY_TERMS for x in kind for f in word_features(x)}
+    names = sorted(identity | {x.feature for x in counts.select("feature").toLocalIterator()})
+    places = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    rows = sample.mapInArrow(design(places), "doc_id long, toxic int, own array<int>, swapped array<array<int>>").orderBy("doc_id").toArrow()
+    own = [np.array(x, np.int64) for x in rows.column("own").to_pylist()]
+    swapped = [[np.array(y, np.int64) for y in x] for x in rows.column("swapped").to_pylist()]
+    bias, w = train(rows.column("toxic").to_numpy(), own, swapped, len(names), fairness)
+    return Model(bias, {f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 1e-3})
 
 
 def score_texts(texts: pa.Array, bias: float, weights: dict[str, int], values: np.ndarray) -> np.ndarray:
