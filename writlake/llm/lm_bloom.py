@@ -26,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from writlake.llm.common import Scratch, coded_words, mix64, prepare, slices
+from writlake.llm.common import Scratch, coded_words, delta, mix64, pack, prepare, slices, undelta, unpack
 
 END = np.uint64(0)
-_PAIR, _LEVEL, _SEED2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_PAIR, _LEVEL, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(2**64 - 2**20)
 
 
 def bigram_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(before * _PAIR + mix64(word))
+    """44-bit keys (low bits 0), whose collisions are far rarer than a filter's false levels and which pack well."""
+    return mix64(before * _PAIR + mix64(word)) & _TOP
 
 
-def unigram_keys(word: np.ndarray) -> np.ndarray:
-    return mix64(word ^ _SEED2)
+def part_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of the hash range that a key belongs to, which is its block of the filter too."""
+    return ((keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -54,7 +56,7 @@ LEVEL_COUNTS = np.array([0.0, *((2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range
 
 @dataclass
 class Filter:
-    """Blocks of a log-frequency Bloom filter; a key's block is its hash modulo the number of blocks."""
+    """Blocks of a log-frequency Bloom filter; a key's block is its part of the hash range."""
 
     blocks: list[np.ndarray]
     hashes: int
@@ -69,7 +71,7 @@ class Filter:
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
         if not len(self.bytes):
             return np.zeros(len(keys), bool)
-        block = keys % np.uint64(len(self.bits))
+        block = part_of(keys, len(self.bits))
         alive = np.arange(len(keys))
         a, b = key_hashes(keys, level)
         for i in range(self.hashes):
@@ -108,31 +110,6 @@ def build_block(keys: np.ndarray, counts: np.ndarray, hashes: int, bits_per_entr
     return np.packbits(out, bitorder="little")
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(len(x).to_bytes(8, "little") + x.dtype.str.encode().ljust(8) + x.tobytes() for x in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
-    out, at = [], 0
-    while at < len(raw):
-        n, kind = int.from_bytes(raw[at : at + 8], "little"), np.dtype(raw[at + 8 : at + 16].decode().strip())
-        out.append(np.frombuffer(raw, kind, n, at + 16))
-        at += 16 + n * kind.itemsize
-    return out
-
-
-def delta(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences, byte planes apart, which compress."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).reshape(-1)
-
-
-def undelta(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
-
-
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, n = np.unique(keys, return_counts=True)
     return found, n.astype(np.uint32)
@@ -156,8 +133,10 @@ def read_blocks(n_parts: int, modulus: int, rest: int):
             codes, names, counts = coded_words(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             out = held_out(ids, modulus, rest)
-            end = len(names)
-            names = np.append(names, END)
+            # Codes in order of the hashes, the end's (0) first, so that a part of the hash range is a run of codes.
+            names, place = np.unique(np.append(names, END), return_inverse=True)
+            codes = place[codes]
+            end = int(place[-1])
             # The end token follows each text's words.
             ends = np.cumsum(counts + 1) - 1
             tokens = np.full(len(codes) + len(counts), end, np.int32)
@@ -165,24 +144,20 @@ def read_blocks(n_parts: int, modulus: int, rest: int):
             where[ends] = False
             tokens[where] = codes
             train = np.repeat(~out, counts + 1)
-            seen = np.bincount(tokens[train], minlength=end + 1).astype(np.uint32)
+            seen = np.bincount(tokens[train], minlength=len(names)).astype(np.uint32)
             before = np.roll(tokens, 1)
             before[ends - counts] = end
             pairs, n = counted(bigram_keys(names[before[train]], names[tokens[train]]))
             chunk, rows = f"{task}-{at}", []
             known = np.array([x is not None for x in ids], bool)
-            rows.append((0, 0, pack(np.array([x or 0 for x in ids], np.int64), known, out, (counts + 1).astype(np.int64), tokens, names)))
-            part = (unigram_keys(names) % np.uint64(n_parts)).astype(np.int64)
-            order = np.lexsort((names, part))
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            part2 = (pairs % np.uint64(n_parts)).astype(np.int64)
-            order2 = np.argsort(part2, kind="stable")
-            cuts2 = np.searchsorted(part2[order2], np.arange(n_parts + 1))
+            rows.append((0, 0, pack(np.array([x or 0 for x in ids], np.int64), known, out, (counts + 1).astype(np.int64), tokens, delta(names))))
+            parts = np.arange(n_parts + 1)
+            cuts, cuts2 = np.searchsorted(part_of(names, n_parts), parts), np.searchsorted(part_of(pairs, n_parts), parts)
             for p in range(n_parts):
-                mine, mine2 = order[cuts[p] : cuts[p + 1]], order2[cuts2[p] : cuts2[p + 1]]
-                if len(mine):
-                    rows.append((1, p, pack(delta(names[mine]), mine.astype(np.int32), seen[mine])))
-                if len(mine2):
+                mine, mine2 = slice(cuts[p], cuts[p + 1]), slice(cuts2[p], cuts2[p + 1])
+                if cuts[p] < cuts[p + 1]:
+                    rows.append((1, p, pack(delta(names[mine]), cuts[p : p + 1], seen[mine])))
+                if cuts2[p] < cuts2[p + 1]:
                     rows.append((2, p, pack(delta(pairs[mine2]), n[mine2])))
             at += 1
             yield pa.record_batch({"kind": pa.array([x[0] for x in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows)), "part": pa.array([x[1] for x in rows], pa.int32()), "payload": pa.array([x[2] for x in rows], pa.binary())})
@@ -212,21 +187,21 @@ def count_part(hashes: int, bits_per_entry: float, most_bytes: int):
             return all_keys[first], np.add.reduceat(n, first)
 
         for i in np.flatnonzero(kind == 1):
-            names, codes, n = unpack(payload[i].as_py())
+            names, first, n = unpack(payload[i].as_py())
             words.append((undelta(names), n))
-            spans.append((chunks[i], words[-1][0], codes))
+            spans.append((chunks[i], words[-1][0], first))
         names, n = merged(words)
         pending, size = [], 0
         for i in np.flatnonzero(kind == 2):
             got, c = unpack(payload[i].as_py())
             pending.append((undelta(got), c))
             size += len(c)
-            if size > 4_000_000:
+            if size > 1_500_000:
                 keys, sums = merged([(keys, sums), *pending])
                 pending, size = [], 0
         keys, sums = merged([(keys, sums), *pending])
-        rows = [(1, c, pack(codes, n[np.searchsorted(names, own)])) for c, own, codes in spans]
-        block = build_block(np.concatenate([unigram_keys(names[n > 0]), keys]), np.concatenate([n[n > 0], sums]), hashes, bits_per_entry, most_bytes)
+        rows = [(1, c, pack(first, n[np.searchsorted(names, own)])) for c, own, first in spans]
+        block = build_block(np.concatenate([names[n > 0], keys]), np.concatenate([n[n > 0], sums]), hashes, bits_per_entry, most_bytes)
         rows += [(3, "", block.tobytes())]
         last = len(rows) - 1
         return pa.table({
@@ -244,18 +219,19 @@ def score_chunk(model, total: int, words: int, mu: float):
     def run(table: pa.Table) -> pa.Table:
         payload, kind = table.column("payload"), table.column("kind").to_numpy()
         ids, known, out, counts, tokens, names = unpack(payload[int(np.flatnonzero(kind == 0)[0])].as_py())
+        names = undelta(names)
         exact = np.zeros(len(names), np.int64)
         for i in np.flatnonzero(kind == 1):
-            codes, n = unpack(payload[i].as_py())
-            exact[codes] = n
+            (at,), n = unpack(payload[i].as_py())
+            exact[at : at + len(n)] = n
         ends = np.cumsum(counts)
         first = ends - counts
         base = np.log10((exact + 1.0) / (total + 1.0 * (words + 1)))
         lm: Filter = model.value
-        single = lm.counts(unigram_keys(names))
+        single = lm.counts(names)
         prior = (single + 1.0) / (total + words + 1.0)
         before = np.roll(tokens, 1)
-        before[first] = len(names) - 1
+        before[first] = 0  # the end's code
         pair, where = np.unique(before.astype(np.int64) * len(names) + tokens, return_inverse=True)
         v, w = pair // len(names), pair % len(names)
         both = np.minimum(lm.counts(bigram_keys(names[v], names[w])), np.maximum(single[v], 1.0))
@@ -269,7 +245,7 @@ def score_chunk(model, total: int, words: int, mu: float):
     return run
 
 
-def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0, bits_per_entry: float = 8.0, hashes: int = 5, max_filter_bytes: int = 192 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0, bits_per_entry: float = 8.0, hashes: int = 5, max_filter_bytes: int = 160 << 20) -> DataFrame:
     """Train on the rows whose crc32(doc_id) mod ``modulus`` is not ``rest`` and score all rows of ``doc_id``, ``text``.
 
     The filter takes ``bits_per_entry`` bits for each inserted level, and ``max_filter_bytes`` in all at most, which
@@ -279,8 +255,10 @@ def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0,
     prepare(spark)
     scratch = Scratch(spark, "lm")
     n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    read = scratch.keep(docs.select("doc_id", "text").mapInArrow(read_blocks(n_parts, modulus, rest), READ), "read")
+    read = scratch.keep(docs.select("doc_id", "text").mapInArrow(read_blocks(n_parts, modulus, rest), READ), "read", "kind")
     counted_parts = scratch.keep(read.where("kind > 0").groupBy("part").applyInArrow(count_part(hashes, bits_per_entry, max_filter_bytes // n_parts), COUNTED), "counted")
+    scratch.drop("read/kind=1")
+    scratch.drop("read/kind=2")
     totals = counted_parts.where("kind = 3").agg(F.sum("tokens"), F.sum("words")).first()
     total, words = int(totals[0] or 0), int(totals[1] or 0)
     blocks: list[np.ndarray] = [np.zeros(8, np.uint8)] * n_parts
