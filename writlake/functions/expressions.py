@@ -180,8 +180,9 @@ def first_date(d: Dialect, x: str) -> str:
 
 def _first_date(d: Dialect, t: str) -> str:
     def date(pattern: str, y: int, m: int, day: int) -> str:
-        part = lambda g, n: d.pad(d.extract(t, pattern, g), n)
-        return f"concat({part(y, 4)}, '/', {part(m, 2)}, '/', {part(day, 2)})" if d.spark else f"({part(y, 4)} || '/' || {part(m, 2)} || '/' || {part(day, 2)})"
+        part = lambda x, g, n: d.pad(d.extract(x, pattern, g), n)
+        # The parts are read from the match alone.
+        return d.let(d.extract(t, pattern, 0), lambda x: f"case when {x} is not null then {part(x, y, 4)} || '/' || {part(x, m, 2)} || '/' || {part(x, day, 2)} end")
 
     ymd, dmy = f"{LEFT}{YEAR}{SEP}{MONTH}{SEP}{DAY}{RIGHT}", f"{LEFT}{DAY}{SEP}{MONTH}{SEP}{YEAR}{RIGHT}"
     compact = f"{LEFT}{YEAR}{SEP}?(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01]){RIGHT}"

@@ -18,6 +18,11 @@ def field(d: Dialect, value: str, confidence: str, review: str) -> str:
     return d.struct(value=value, confidence=f"cast(case when {some} then {confidence} else 0.0 end as double)", needs_review=f"case when {some} then {review} else true end")
 
 
+def first_of(d: Dialect, *ways: tuple[str, dict[str, str]]) -> str:
+    """The first way with a value, with its other columns; later ways are not computed."""
+    return "coalesce(" + ", ".join(d.let(value, lambda v, more=more: f"case when {v} is not null then {d.struct(value=v, **more)} end") for value, more in ways) + ")"
+
+
 def value_after(d: Dialect, line: str, phrase: str) -> str:
     """What follows a phrase on a line; after a colon or a full stop if there is one."""
     rest = E.trim(d, f"substr({line}, strpos({line}, {d.text(phrase)}) + {len(phrase)})") if not d.spark else E.trim(d, f"substr({line}, instr({line}, {d.text(phrase)}) + {len(phrase)})")
@@ -26,6 +31,10 @@ def value_after(d: Dialect, line: str, phrase: str) -> str:
 
 def case_number(d: Dialect, lines: str) -> str:
     """value and way (strong, keyword, scan); the first line with a label decides, even if it has no number."""
+    return d.let(lines, lambda x: _case_number(d, x))
+
+
+def _case_number(d: Dialect, lines: str) -> str:
     full = d.join(lines, "\n")
     strong = d.let(full, lambda t: f"coalesce({E.case_number(d, d.extract(t, CASE_AFTER, 1))}, {E.case_number(d, d.extract(t, CASE_BEFORE, 1))})")
     place = d.first_place(lines, "v", E.any_phrase(d, "v", L.CASE_NUMBER_KEYWORDS))
@@ -34,8 +43,7 @@ def case_number(d: Dialect, lines: str) -> str:
     labelled = f"case when {place} > 0 then coalesce({E.case_number(d, after)}, {E.case_number(d, d.at(lines, f'{place} + 1'))}) end"
     free = d.filter(lines, "v", f"not {E.any_phrase(d, 'v', (*L.DOCUMENT_NUMBER_KEYWORDS, 'الكتاب'))} and {E.first_date(d, 'v')} is null and {E.case_number(d, 'v')} is not null")
     scan = f"case when {place} = 0 then {E.case_number(d, d.at(free, '1'))} end"
-    found = d.items(d.struct(value=strong, way="'strong'"), d.struct(value=labelled, way="'keyword'"), d.struct(value=scan, way="'scan'"))
-    return d.at(d.filter(found, "v", "v.value is not null"), "1")
+    return first_of(d, (strong, {"way": "'strong'"}), (labelled, {"way": "'keyword'"}), (scan, {"way": "'scan'"}))
 
 
 def document_number(d: Dialect, lines: str) -> str:
@@ -48,6 +56,10 @@ def document_number(d: Dialect, lines: str) -> str:
 
 def labelled_date(d: Dialect, lines: str) -> str:
     """Around the first line with a date label (previous, same and next line)."""
+    return d.let(lines, lambda x: _labelled_date(d, x))
+
+
+def _labelled_date(d: Dialect, lines: str) -> str:
     place = d.first_place(lines, "v", E.any_phrase(d, "v", L.DATE_KEYWORDS))
     around = f"concat_ws(' ', {d.at(lines, f'nullif({place}, 1) - 1')}, {d.at(lines, place)}, {d.at(lines, f'{place} + 1')})"
     return f"case when {place} > 0 then {E.first_date(d, around)} end"
@@ -57,8 +69,7 @@ def document_date(d: Dialect, header: str, text: str) -> str:
     """value and confidence: anywhere in the header, by a header label, anywhere in the text, by a label."""
     head, body = E.lines(d, header), E.lines(d, f"concat({header}, chr(10), {text})")
     ways = (("0.90", E.first_date_outside_numbers(d, header)), ("0.90", labelled_date(d, head)), ("0.85", E.first_date_outside_numbers(d, text)), ("0.90", labelled_date(d, body)))
-    found = d.items(*(d.struct(value=v, confidence=f"cast({c} as double)") for c, v in ways))
-    return d.at(d.filter(found, "v", "v.value is not null"), "1")
+    return first_of(d, *((v, {"confidence": f"cast({c} as double)"}) for c, v in ways))
 
 
 def court_by_rule(d: Dialect, lines: str) -> str:
@@ -73,8 +84,7 @@ def court_by_rule(d: Dialect, lines: str) -> str:
         joined = f"list_transform(list_slice({lines}, 1, 25), lambda v, i: v || ' ' || list_extract({lines}, i + 1))"
     double = d.at(fit(joined), "1")
     short = d.at(d.filter(lines, "v", f"length(v) <= 60 and {E.any_phrase(d, 'v', L.COURT_NAME_KEYWORDS)}"), "1")
-    found = d.items(*(d.struct(value=v, confidence=f"cast({c} as double)") for c, v in (("0.90", single), ("0.75", double), ("0.75", short))))
-    return d.at(d.filter(found, "v", "v.value is not null"), "1")
+    return first_of(d, *((v, {"confidence": f"cast({c} as double)"}) for c, v in (("0.90", single), ("0.75", double), ("0.75", short))))
 
 
 #: Words of the court list that are alike enough (a ratio of matching blocks of 0.72 or more) to stand for each other; tests derive them.
