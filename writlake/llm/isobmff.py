@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from writlake.llm.common import prepare, slices
 
@@ -188,12 +190,9 @@ def media_columns(df: DataFrame, key: str, content: str = "content") -> DataFram
     """``key``, status, brand and tracks of a binary column."""
     prepare(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
+    to = to_arrow_type(StructType.fromDDL(TRACKS)["tracks"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-        from pyspark.sql.types import _parse_datatype_string
-
-        to = to_arrow_type(_parse_datatype_string(TRACKS.split("tracks ")[1]))
         for batch in slices(batches, content):
             found = [([], None, "null") if x is None else walk(x) for x in batch.column(content).to_pylist()]
             tracks = [[{"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "key_ranges": [{"start": a, "end": b} for a, b in safe_ranges(t)]} for t in x[0]] for x in found]
