@@ -11,6 +11,7 @@ from writlake.functions.dialect import Dialect
 ARABIC = "؀-ۿ"
 YEAR, MONTH, DAY = "((?:20|19)[0-9]{2})", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
 SEP = "[/.-]"
+BLANK = " \t\n\x0b\x0c\r"
 LEFT, RIGHT = "(?:^|[^0-9])", "(?:[^0-9]|$)"
 
 
@@ -34,7 +35,7 @@ def strip_garbage(d: Dialect, x: str) -> str:
 
 
 def trim(d: Dialect, x: str) -> str:
-    return d.replace(x, r"^\s+|\s+$", "")
+    return f"{'btrim' if d.spark else 'trim'}({x}, {d.text(BLANK)})"
 
 
 def squeeze(d: Dialect, x: str) -> str:

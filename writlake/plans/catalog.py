@@ -26,7 +26,12 @@ def raw() -> Flow:
 def clean() -> Flow:
     """The corpus with normalized header and text, and their lines."""
     out = raw().add(header=lambda d: E.normalize(d, "header_text"), text=lambda d: E.normalize(d, "full_page_text"))
-    return out.add(lines=lambda d: E.lines(d, "concat(header, chr(10), text)"))
+    return out.add(lines=lambda d: clean_lines(d, "concat(header, chr(10), text)"))
+
+
+def clean_lines(d: Dialect, x: str) -> str:
+    """Lines of a text that is normalized already."""
+    return d.filter(d.split(x, "\n"), "v", "v <> ''")
 
 
 def scalar(operator, column: str = "full_page_text") -> Flow:
@@ -66,7 +71,7 @@ def direct() -> Flow:
 
 
 def keyword_lines() -> Flow:
-    out = clean().explode("line", lambda d: P.candidate_lines(d, E.lines(d, "text"))).add(p=lambda d: P.keyword_line(d, "line"))
+    out = clean().explode("line", lambda d: P.candidate_lines(d, clean_lines(d, "text"))).add(p=lambda d: P.keyword_line(d, "line"))
     return out.where(lambda d: "p is not null")
 
 
@@ -160,7 +165,7 @@ def flows() -> dict[str, Flow]:
         "company_lines": clean().explode("line", lambda d: "lines").where(lambda d: E.is_company(d, "line")).select(KEY, "line"),
         "recipient_lines": clean().explode("line", lambda d: "lines").where(lambda d: E.is_recipient(d, "line")).select(KEY, "line"),
         "section_ends": clean().explode("line", lambda d: "lines").where(lambda d: E.any_phrase(d, "line", L.SECTION_ENDS)).select(KEY, "line"),
-        "candidate_lines": clean().explode("line", lambda d: P.candidate_lines(d, E.lines(d, "text"))).select(KEY, "line"),
+        "candidate_lines": clean().explode("line", lambda d: P.candidate_lines(d, clean_lines(d, "text"))).select(KEY, "line"),
         "registration_numbers": clean().explode("line", lambda d: "lines").add(value=lambda d: E.registration(d, "line")).where(lambda d: "value is not null").select(KEY, "value"),
         "case_number_extract": clean().add(f=lambda d: D.case_number(d, "lines")).select(KEY, value=lambda d: "f.value", way=lambda d: "f.way"),
         "document_number_extract": clean().select(KEY, value=lambda d: D.document_number(d, "lines")),
