@@ -22,31 +22,41 @@ from pyspark.sql import functions as F
 from writlake.llm.common import Scratch, prepare
 
 
-def beam_search(queries: np.ndarray, points: np.ndarray, graph: np.ndarray, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes search together: ids (-1: none) and squared distances of the ``width`` nearest found, nearest first."""
+def beam_search(queries: np.ndarray, points: np.ndarray, graph: np.ndarray, start: int, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes search together, each opening its ``at_once`` nearest unopened nodes in a step: ids (-1: none) and squared distances of the ``width`` nearest found, nearest first."""
     m = len(queries)
     ids = np.full((m, width), -1, np.int64)
     far = np.full((m, width), np.inf, np.float32)
     open_ = np.zeros((m, width), bool)
-    ids[:, 0], far[:, 0], open_[:, 0] = start, 2 - 2 * queries @ points[start], True
+    seen = np.zeros((m, len(points)), bool)
+    ids[:, 0], far[:, 0], open_[:, 0], seen[:, start] = start, 2 - 2 * queries @ points[start], True, True
     lanes = np.arange(m)
     while len(lanes):
-        at = np.argmax(open_[lanes], 1)
-        go = open_[lanes, at]
-        lanes, at = lanes[go], at[go]
+        lanes = lanes[open_[lanes].any(1)]
         if not len(lanes):
             break
-        open_[lanes, at] = False
-        near = graph[ids[lanes, at]]
-        known = ids[lanes]
-        new = (near >= 0) & ~(near[:, :, None] == known[:, None, :]).any(2)
+        row = np.arange(len(lanes))[:, None]
+        at = np.argsort(~open_[lanes], 1, kind="stable")[:, :at_once]
+        go = open_[lanes[:, None], at]
+        open_[lanes[:, None], at] = False
+        near = graph[np.where(go, ids[lanes[:, None], at], 0)]
+        near[~go] = -1
+        for k in range(near.shape[1]):
+            some = near[:, k]
+            some[seen[lanes[:, None], np.maximum(some, 0)]] = -1
+            lane, col = np.nonzero(some >= 0)
+            seen[lanes[lane], some[lane, col]] = True
+        near = near.reshape(len(lanes), -1)
+        # New nodes to the front, and as many columns as the lane with the most needs.
+        order = np.argsort(near < 0, 1, kind="stable")[:, : max(int((near >= 0).sum(1).max()), 1)]
+        near = near[row, order]
+        new = near >= 0
         d = 2 - 2 * np.matmul(points[np.maximum(near, 0)], queries[lanes][:, :, None])[:, :, 0]
         d[~new] = np.inf
         all_d = np.concatenate([far[lanes], d], 1)
         best = np.argsort(all_d, 1, kind="stable")[:, :width]
-        row = np.arange(len(lanes))[:, None]
         far[lanes] = all_d[row, best]
-        ids[lanes] = np.where(np.isinf(far[lanes]), -1, np.concatenate([known, near], 1)[row, best])
+        ids[lanes] = np.where(np.isinf(far[lanes]), -1, np.concatenate([ids[lanes], near], 1)[row, best])
         open_[lanes] = np.concatenate([open_[lanes], new], 1)[row, best] & ~np.isinf(far[lanes])
     return ids, far
 
@@ -185,7 +195,7 @@ def search(k: int, width: int):
     return run
 
 
-def nearest(df: DataFrame, every: int = 50, k: int = 5, shard_nodes: int = 20_000, degree: int = 32, width: int = 80, alpha: float = 1.2, block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, every: int = 50, k: int = 5, shard_nodes: int = 20_000, degree: int = 32, width: int = 64, alpha: float = 1.2, search_width: int = 200, block: int = 4096) -> DataFrame:
     """The k nearest found of each row of ``vec_id``, ``embedding`` whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = df.sparkSession
     prepare(spark)
@@ -201,6 +211,6 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, shard_nodes: int = 20_00
     wanted = wanted.withColumns({"dim": (F.length("vector") / 8).cast("int"), "block": F.expr(f"query_id div {every} div {block}")})
     blocks = wanted.groupBy("dim", "block").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("vector").alias("queries"))  # ``block`` rows at most
     pairs = blocks.join(sizes, "dim").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards", "block")
-    found = pairs.join(index, ["dim", "shard"]).repartition("dim", "shard").mapInArrow(search(k, width), FOUND)
+    found = pairs.join(index, ["dim", "shard"]).repartition("dim", "shard").mapInArrow(search(k, search_width), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
