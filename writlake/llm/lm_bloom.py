@@ -254,7 +254,7 @@ def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0,
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "lm")
-    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = scratch.keep(docs.select("doc_id", "text").mapInArrow(read_blocks(n_parts, modulus, rest), READ), "read", "kind")
     counted_parts = scratch.keep(read.where("kind > 0").groupBy("part").applyInArrow(count_part(hashes, bits_per_entry, max_filter_bytes // n_parts), COUNTED), "counted")
     scratch.drop("read/kind=1")
@@ -266,4 +266,9 @@ def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0,
         blocks[row.part] = np.frombuffer(bytes(row.payload), np.uint8)
     model = spark.sparkContext.broadcast(Filter(blocks, hashes))
     both = read.where("kind = 0").unionByName(counted_parts.where("kind = 1").select("kind", "chunk", "part", "payload"))
-    return both.groupBy("chunk").applyInArrow(score_chunk(model, total, words, mu), SCORES)
+    scores = scratch.keep(both.groupBy("chunk").applyInArrow(score_chunk(model, total, words, mu), SCORES), "scores")
+    # The filter leaves the workers' memory, and the tables the disk, before the scores are read.
+    model.destroy()
+    scratch.drop("read")
+    scratch.drop("counted")
+    return scores
