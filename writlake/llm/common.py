@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -28,11 +30,12 @@ def prepare(spark: SparkSession) -> str:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="writlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
+
+
+@functools.cache
+def own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="writlake-")
 
 
 class Scratch:
@@ -139,6 +142,10 @@ PRETOKENS = {
 }
 
 
+#: Marks a text's first piece; a text that holds it is one piece as a whole.
+FIRST = "\ufdd0\ufdd1\ufdd0"
+
+
 class TokenIds:
     """Token ids of texts by a ``tokenizers`` file, remembering pieces between places where its pre-tokenizer always cuts.
 
@@ -147,7 +154,7 @@ class TokenIds:
     The memory of pieces is bounded by ``most`` and emptied when full; ids are the library's own.
     """
 
-    def __init__(self, path: str, boundary: str, most: int = 500_000):
+    def __init__(self, path: str, boundary: str, most: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -163,19 +170,29 @@ class TokenIds:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def model_ids(self, part: str) -> bytes:
+        """Ids (as 32-bit integers) of one pre-token by the library's model, whose alphabet stands for bytes."""
+        known = part.replace(" ", "\u0120") if part.isascii() and part.lstrip(" ").isalnum() else part.encode().decode("latin-1").translate(self.table)
+        return array("i", [x.id for x in self.tokenizer.model.tokenize(known)]).tobytes()
+
+    def encode_piece(self, piece: str) -> bytes:
         """Ids of one piece: the library's normalizer and model, on the pieces that its pre-tokenizer makes."""
-        if self.boundary == "word":
+        lead = ""
+        if self.boundary == "space":
+            lead, piece = ("", piece[len(FIRST) :]) if piece.startswith(FIRST) else (" ", piece)
+        elif not piece.isascii():
             piece = self.tokenizer.normalizer.normalize_str(piece)
-        out: list[int] = []
-        for part in self.pattern.findall(piece):
+        if piece.isalpha():  # letters alone are one pre-token
+            return self.model_ids(lead + piece)
+        out = []
+        for part in self.pattern.findall(lead + piece):
             ids = self.parts.get(part)
             if ids is None:
-                ids = self.parts[part] = [x.id for x in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.table))]
-            out += ids
-        return out
+                ids = self.parts[part] = self.model_ids(part)
+            out.append(ids)
+        return b"".join(out)
 
     def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         texts = plain(texts)
@@ -185,19 +202,29 @@ class TokenIds:
 
         # A cut before a lone space between two other characters; other white space stays inside a piece.
         odd = pc.match_substring_regex(texts, r"[\s\p{Z}\x{1c}-\x{1f}\x{85}] | [\s\p{Z}\x{1c}-\x{1f}\x{85}]").to_numpy(zero_copy_only=False)
-        if odd.any():
+        marked = pc.match_substring(texts, FIRST).to_numpy(zero_copy_only=False)
+        if (odd | marked).any():
             cut, lists = re.compile(r"(?<=\S)(?= \S)"), []
-            for text, strange in zip(texts.to_pylist(), odd, strict=True):
+            for text, strange, whole in zip(texts.to_pylist(), odd, marked, strict=True):
+                if whole:
+                    lists.append([FIRST + text])
+                    continue
                 parts = cut.split(text) if strange else text.split(" ")
-                lists.append(parts if strange else [parts[0], *(" " + x for x in parts[1:])])
+                lists.append([FIRST + parts[0], *(x[1:] for x in parts[1:])] if strange else [FIRST + parts[0], *parts[1:]])
             return pa.array([x for y in lists for x in y], pa.large_string()), np.array([len(x) for x in lists])
         lists = pc.split_pattern(texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-        offsets -= offsets[0]
-        first = np.zeros(len(values), bool)
-        first[offsets[:-1][np.diff(offsets) > 0]] = True
-        return pc.if_else(pa.array(first), values, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), values, pa.scalar(" ", pa.large_string()))), np.diff(offsets)
+        # A piece's leading space is not written out: names of known pieces lack it, and a text's first piece, which has none, is marked.
+        first = (offsets - offsets[0])[:-1]
+        values = pc.replace_with_mask(values, self.mask(len(values), first), pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), values.take(pa.array(first)), pa.scalar("", pa.large_string())))
+        return values, np.diff(offsets)
+
+    @staticmethod
+    def mask(n: int, places: np.ndarray) -> pa.Array:
+        out = np.zeros(n, bool)
+        out[places] = True
+        return pa.array(out)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32) and each text's count; null and empty texts have none."""
@@ -210,8 +237,8 @@ class TokenIds:
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             got = [self.encode_piece(x) for x in new]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.ids = np.concatenate([self.ids, np.fromiter((y for x in got for y in x), np.int32, int(size.sum()))])
+            size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), np.int32)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
         place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
         starts, sizes = self.ends[place], np.diff(self.ends)[place]

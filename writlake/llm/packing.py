@@ -142,7 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end
             return pa.record_batch(table)
 
         coder = token_ids(tokenizer, boundary)
-        for batch in slices(batches):
+        for batch in slices(batches, most=6 << 20):
             flat, counts = coder.encode(batch.column("text"))
             at, stops = len(ids), np.cumsum(counts)
             for name, a, b in zip(batch.column("doc_id").to_pylist(), (stops - counts).tolist(), stops.tolist(), strict=True):
