@@ -101,7 +101,7 @@ def train(labels: np.ndarray, rows: list[np.ndarray], swaps: list[list[np.ndarra
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of a task's piece hold a feature, and how many of them are toxic."""
-    for batch in slices(batches):
+    for batch in slices(batches, most=2 << 20):
         seen, toxic = Counter(), Counter()
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             own = {f for w in text_words(text) for f in word_features(w)}
