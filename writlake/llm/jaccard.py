@@ -1,8 +1,9 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Texts with equal sets are one class. Columns (n-grams) are ordered rare first, by a fixed-size sketch of their counts; two sets
-that link share a column among the first n - ceil(t n) + 1 of each, so only those entries are multiplied: pairs of rows that meet in
-such a column and pass the bounds on sizes and on what can follow the shared place. Pairs are dealt to blocks (a row and some of its
+that link share columns among the first n - ceil(t n) + 1 of each, so only those entries are multiplied first: the products' overlap counts
+are accumulated, and pairs below the bounds that their sizes give (on the sizes, on the shared columns, on what can follow a shared
+place) are discarded. The other pairs are dealt to blocks (a row and some of its
 partners), which hold whole rows, and the block's product accumulates the overlap counts that decide the links.
 
 A class that meets thousands of others is not multiplied with each: rounds first join every class to one partner of its
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from writlake.llm.common import WORD, Scratch, coded_words, mix64, prepare, segment_sums, slices
 
-SKETCH_BITS, SEGMENTS, SALTS = 20, 16, 16
+SKETCH_BITS, SEGMENTS, SALTS, MOST_BROADCAST = 20, 16, 16, 500_000
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -66,7 +67,7 @@ def profile(words: int):
         from pyspark import TaskContext
 
         sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             grams, counts = shingle_sets(batch.column("text"), words)
             keys, m = set_keys(grams, counts), len(counts)
             new = np.zeros(m, bool)
@@ -107,7 +108,7 @@ def first_entries(words: int, num: int, den: int, sketch):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             grams, counts = shingle_sets(batch.column("text"), words)
             keys = set_keys(grams, counts)
             new = np.zeros(len(keys), bool)
@@ -128,7 +129,7 @@ def first_entries(words: int, num: int, den: int, sketch):
 
 def set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             grams, counts = shingle_sets(batch.column("text"), words)
             raw, ends = grams.tobytes(), np.cumsum(counts) * 8
             yield pa.record_batch({"cls": pa.array(set_keys(grams, counts)), "grams": pa.array([raw[e - 8 * c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())})
@@ -156,9 +157,24 @@ def block_product(num: int, den: int):
     return run
 
 
+def size_bound(num: int, den: int) -> Column:
+    return F.least("n", "n2") * den >= F.greatest("n", "n2") * num
+
+
+def least_shared(num: int, den: int) -> Column:
+    """How many of the multiplied columns a linked pair shares at least.
+
+    With an overlap of o, a set has at most n - o columns of its own, so that its j-th common column is among its first
+    j + n - o; as long as that is within the multiplied ones of both sets, it was counted.
+    """
+    overlap = f"((n + n2) * {num}L + {num + den - 1}) div {num + den}"
+    own = lambda n: f"(({n}) - (({n}) * {num}L + {den - 1}) div {den} + 1) - (({n}) - {overlap})"
+    return F.expr(f"greatest(least({own('n')}, {own('n2')}), 1)")
+
+
 def may_link(num: int, den: int) -> Column:
     """Bounds on a pair from sizes and from the places of a shared column."""
-    sizes = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
+    sizes = size_bound(num, den)
     rest = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     return sizes & (rest.cast("long") * (den + num) >= (F.col("n") + F.col("n2")).cast("long") * num)
 
@@ -188,7 +204,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return others.unionByName(hubs).groupBy("hub", "salt").applyInArrow(block_product(num, den), "a long, b long")
 
 
-def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Texts with their class, and the component of every class that has a link."""
     spark: SparkSession = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -199,34 +215,49 @@ def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Sc
     columns = entries.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("gram")
     members = scratch.keep(entries.join(columns, "gram").distinct(), "members")
     scratch.drop("entries")
-    reps = texts.where("cls is not null").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("text_key").alias("text_key"))
-    wanted = keyed.select("text", "text_key").join(reps.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = scratch.keep(wanted.select("text").mapInArrow(set_rows(words), "cls long, grams binary"), "sets")
+    reps = scratch.keep(texts.where("cls is not null").groupBy("cls").agg(F.min("text_key").alias("text_key")), "reps")
+
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        """The sets of the classes of some pairs, from one text of each."""
+        need = scratch.keep(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("hub").alias("cls"))).distinct().join(reps, "cls").select("text_key"), f"{name}-need")
+        keys = F.broadcast(need) if need.count() <= MOST_BROADCAST else need
+        wanted = keyed.select("text", "text_key").join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+        return scratch.keep(wanted.select("text").mapInArrow(set_rows(words), "cls long, grams binary"), name)
+
     comps = spark.createDataFrame([], "node long, comp long")
     links = spark.createDataFrame([], "a long, b long")
+    last = False
     for i in range(rounds + 1):
+        last = last or i == rounds
         placed = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         mixed = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gram")
         placed = scratch.keep(placed.join(mixed, "gram"), f"placed-{i}")
-        if i < rounds:
+        if not last:
             # Every class with one partner: of the columns' chosen members, the one it shares the most columns with.
             chosen = placed.groupBy("gram").agg(F.min_by(F.struct(F.col("cls").alias("hub"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2")), F.xxhash64("comp", F.lit(i), "cls")).alias("h"))
             met = placed.join(chosen.select("gram", "h.*"), "gram").where("comp != comp2").where(may_link(num, den))
-            met = met.groupBy("cls", "hub").agg(F.count("*").alias("n")).groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-            pairs = met.select(F.col("cls").alias("x"), "hub")
+            met = met.groupBy("cls", "hub").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("n2").alias("n2")).where(F.col("shared") * 2 >= least_shared(num, den))
+            pairs = met.groupBy(F.col("cls").alias("x")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
         else:
             # All pairs that are left: one of the two is outside the column's largest component.
             sizes = placed.groupBy("gram", "comp").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
             placed = placed.join(sizes, "gram")
             strays = placed.where("comp != major").select("gram", F.col("cls").alias("hub"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2"))
-            met = placed.join(strays, "gram").where("comp != comp2 and (comp = major or cls < hub)").where(may_link(num, den))
-            pairs = met.select(F.col("cls").alias("x"), "hub").distinct()
+            met = placed.join(strays, "gram").where("comp != comp2 and (comp = major or cls < hub)").where(size_bound(num, den))
+            # Either of two may be the stray one in a column.
+            met = met.select(F.least("cls", "hub").alias("cls"), F.greatest("cls", "hub").alias("hub"), F.when(F.col("cls") < F.col("hub"), F.col("n")).otherwise(F.col("n2")).alias("n"), F.when(F.col("cls") < F.col("hub"), F.col("n2")).otherwise(F.col("n")).alias("n2"), may_link(num, den).alias("may"))
+            met = met.groupBy("cls", "hub").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("n2").alias("n2"), F.bool_or("may").alias("may"))
+            pairs = met.where(F.col("may") & (F.col("shared") >= least_shared(num, den))).select(F.col("cls").alias("x"), "hub")
         pairs = scratch.keep(pairs, f"pairs-{i}")
-        found = scratch.keep(verified(pairs, sets, num, den), f"links-{i}")
-        fresh = found.limit(1).count()
-        if fresh:
+        scratch.drop(f"placed-{i}")
+        found = scratch.keep(verified(pairs, sets_of(pairs, f"sets-{i}"), num, den), f"links-{i}")
+        scratch.drop(f"sets-{i}")
+        if found.limit(1).count():
             links = links.unionByName(found)
             comps = components(links, scratch, f"components-{i}")
+        if last:
+            break
+        last = found.count() * 50 < pairs.count()
     return texts, comps
 
 
