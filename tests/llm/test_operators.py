@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from writlake.llm import feistel, isobmff, jaccard, lm_bloom, mixing, packing, range_coder, runlength_index, toxicity, vamana
@@ -80,6 +81,18 @@ def test_bloom_levels():
     assert (model.counts(keys + np.uint64(1)) == 0).mean() > 0.95
 
 
+def test_bloom_grows_with_the_ngrams():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 2**63, 600_000).astype(np.uint64) & lm_bloom._TOP)
+    # 21 levels each for two thirds of the keys (8 MB of filter and more), the rest held out.
+    n = np.where(np.arange(len(keys)) % 3 > 0, 2**20, 0).astype(np.uint32)
+    row = {"kind": [2], "chunk": ["0-0"], "part": [0], "payload": [lm_bloom.pack(lm_bloom.delta(keys), n)]}
+    got = lm_bloom.count_part(5, 8.0)(pa.table(row)).to_pylist()
+    (found,) = lm_bloom.unpack(next(x["payload"] for x in got if x["kind"] == 2))
+    assert (found[n > 0] >= 21).all()
+    assert (found[n == 0] > 0).mean() < 0.03
+
+
 def test_toxicity(spark):
     random.seed(1)
     plain = [f"word{i}" for i in range(200)]

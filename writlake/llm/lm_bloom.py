@@ -2,8 +2,9 @@
 
 Word 1- and 2-gram counts of the training texts are quantised to powers of two; level j of an n-gram is
 inserted as its own key, so that a count is read back by probing levels 1, 2, ... until one is missing.
-The filter is built in blocks by n-gram hash, broadcast, and the smoothed probability of every token comes
-from probes alone:
+The filter is built in blocks by n-gram hash, each as large as its n-grams need. Every block of documents sends
+its distinct n-grams to their block of the filter and gets the probed levels back, so that no process holds the
+whole filter, and the smoothed probability of every token comes from probes alone:
 
     P(w) = (c(w) + 1) / (N + V + 1),  P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu)
 
@@ -81,15 +82,18 @@ class Filter:
         out[alive] = True
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts by probing levels upwards until a level is missing."""
+    def probe(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by probing upwards until one is missing."""
         level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for q in range(1, 63):
             alive = alive[self.has(keys[alive], q)]
             if not len(alive):
                 break
             level[alive] = q
-        return LEVEL_COUNTS[level]
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return LEVEL_COUNTS[self.probe(keys)]
 
 
 def key_hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +101,12 @@ def key_hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(24), (mix64(h) >> np.uint64(24)) | np.uint64(1)
 
 
-def build_block(keys: np.ndarray, counts: np.ndarray, hashes: int, bits_per_entry: float, most_bytes: int) -> np.ndarray:
-    """One block: every key at each level up to its quantised count."""
+def build_block(keys: np.ndarray, counts: np.ndarray, hashes: int, bits_per_entry: float, most_bytes: int | None = None) -> np.ndarray:
+    """One block: every key at each level up to its quantised count. It grows with them unless ``most_bytes`` is given."""
     q = levels(counts)
-    bits = max(64, min(most_bytes * 8, math.ceil(float(q.sum()) * bits_per_entry)))
+    bits = max(64, math.ceil(float(q.sum()) * bits_per_entry))
+    if most_bytes is not None:
+        bits = max(64, min(most_bytes * 8, bits))
     bits = (bits + 7) // 8 * 8
     out = np.zeros(bits, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
@@ -110,11 +116,6 @@ def build_block(keys: np.ndarray, counts: np.ndarray, hashes: int, bits_per_entr
     return np.packbits(out, bitorder="little")
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, n = np.unique(keys, return_counts=True)
-    return found, n.astype(np.uint32)
-
-
 def held_out(ids: list[int | None], modulus: int, rest: int) -> np.ndarray:
     return np.array([x is not None and zlib.crc32(str(x).encode()) % modulus == rest for x in ids], bool)
 
@@ -147,7 +148,9 @@ def read_blocks(n_parts: int, modulus: int, rest: int):
             seen = np.bincount(tokens[train], minlength=len(names)).astype(np.uint32)
             before = np.roll(tokens, 1)
             before[ends - counts] = end
-            pairs, n = counted(bigram_keys(names[before[train]], names[tokens[train]]))
+            # All pairs are probed, those of held-out texts too; these count nothing.
+            pairs, where = np.unique(bigram_keys(names[before], names[tokens]), return_inverse=True)
+            n = np.bincount(where[train], minlength=len(pairs)).astype(np.uint32)
             chunk, rows = f"{task}-{at}", []
             known = np.array([x is not None for x in ids], bool)
             rows.append((0, 0, pack(np.array([x or 0 for x in ids], np.int64), known, out, (counts + 1).astype(np.int64), tokens, delta(names))))
@@ -168,8 +171,8 @@ def read_blocks(n_parts: int, modulus: int, rest: int):
 COUNTED = "kind int, chunk string, part int, payload binary, tokens long, words long"
 
 
-def count_part(hashes: int, bits_per_entry: float, most_bytes: int):
-    """Per part of the hash range: exact word counts back to each block (1), the part's filter block (3), and totals (4)."""
+def count_part(hashes: int, bits_per_entry: float):
+    """Per part of the hash range: exact counts and probed levels of words (1) and levels of pairs (2) back to each block, and totals (3)."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, chunks = table.column("kind").to_numpy(), table.column("chunk").to_pylist()
@@ -194,15 +197,19 @@ def count_part(hashes: int, bits_per_entry: float, most_bytes: int):
         pending, size = [], 0
         for i in np.flatnonzero(kind == 2):
             got, c = unpack(payload[i].as_py())
-            pending.append((undelta(got), c))
-            size += len(c)
+            trained = c > 0
+            pending.append((undelta(got)[trained], c[trained]))
+            size += len(pending[-1][1])
             if size > 1_500_000:
                 keys, sums = merged([(keys, sums), *pending])
                 pending, size = [], 0
         keys, sums = merged([(keys, sums), *pending])
-        rows = [(1, c, pack(first, n[np.searchsorted(names, own)])) for c, own, first in spans]
-        block = build_block(np.concatenate([names[n > 0], keys]), np.concatenate([n[n > 0], sums]), hashes, bits_per_entry, most_bytes)
-        rows += [(3, "", block.tobytes())]
+        block = build_block(np.concatenate([names[n > 0], keys]), np.concatenate([n[n > 0], sums]), hashes, bits_per_entry)
+        del keys, sums, pending
+        model = Filter([block], hashes)
+        rows = [(1, c, pack(first, n[np.searchsorted(names, own)], model.probe(own).astype(np.uint8))) for c, own, first in spans]
+        rows += [(2, chunks[i], pack(model.probe(undelta(unpack(payload[i].as_py())[0])).astype(np.uint8))) for i in np.flatnonzero(kind == 2)]
+        rows += [(3, "", b"")]
         last = len(rows) - 1
         return pa.table({
             "kind": pa.array([x[0] for x in rows], pa.int32()), "chunk": pa.array([x[1] for x in rows]), "part": pa.array([part] * len(rows), pa.int32()), "payload": pa.array([x[2] for x in rows], pa.binary()),
@@ -215,26 +222,31 @@ def count_part(hashes: int, bits_per_entry: float, most_bytes: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_chunk(model, total: int, words: int, mu: float):
+def score_chunk(total: int, words: int, mu: float):
     def run(table: pa.Table) -> pa.Table:
         payload, kind = table.column("payload"), table.column("kind").to_numpy()
         ids, known, out, counts, tokens, names = unpack(payload[int(np.flatnonzero(kind == 0)[0])].as_py())
         names = undelta(names)
-        exact = np.zeros(len(names), np.int64)
+        exact, single = np.zeros(len(names), np.int64), np.zeros(len(names), np.float64)
         for i in np.flatnonzero(kind == 1):
-            (at,), n = unpack(payload[i].as_py())
+            (at,), n, found = unpack(payload[i].as_py())
             exact[at : at + len(n)] = n
+            single[at : at + len(n)] = LEVEL_COUNTS[found]
+        # Parts are runs of the sorted keys, so that the levels in order of the parts are those of the chunk's sorted pairs.
+        part = table.column("part").to_numpy()
+        pair_levels = np.concatenate([unpack(payload[i].as_py())[0] for i in sorted(np.flatnonzero(kind == 2), key=lambda i: part[i])])
         ends = np.cumsum(counts)
         first = ends - counts
         base = np.log10((exact + 1.0) / (total + 1.0 * (words + 1)))
-        lm: Filter = model.value
-        single = lm.counts(names)
         prior = (single + 1.0) / (total + words + 1.0)
         before = np.roll(tokens, 1)
         before[first] = 0  # the end's code
         pair, where = np.unique(before.astype(np.int64) * len(names) + tokens, return_inverse=True)
         v, w = pair // len(names), pair % len(names)
-        both = np.minimum(lm.counts(bigram_keys(names[v], names[w])), np.maximum(single[v], 1.0))
+        keys, place = np.unique(bigram_keys(names[v], names[w]), return_inverse=True)
+        if len(keys) != len(pair_levels):
+            raise ValueError(f"{len(keys)} pairs, levels of {len(pair_levels)}")
+        both = np.minimum(LEVEL_COUNTS[pair_levels[place]], np.maximum(single[v], 1.0))
         logs = np.log10((both + mu * prior[w]) / (np.maximum(single[v], both) + mu))
         add = lambda x: np.add.reduceat(x, first)
         return pa.table({
@@ -245,30 +257,24 @@ def score_chunk(model, total: int, words: int, mu: float):
     return run
 
 
-def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0, bits_per_entry: float = 8.0, hashes: int = 5, max_filter_bytes: int = 160 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0, bits_per_entry: float = 8.0, hashes: int = 5) -> DataFrame:
     """Train on the rows whose crc32(doc_id) mod ``modulus`` is not ``rest`` and score all rows of ``doc_id``, ``text``.
 
-    The filter takes ``bits_per_entry`` bits for each inserted level, and ``max_filter_bytes`` in all at most, which
-    bounds the broadcast: every n-gram is inserted at any size, and past the bound the rate of false levels rises.
+    The filter takes ``bits_per_entry`` bits for each inserted level at any size, so that the rate of false levels stays.
     """
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "lm")
     n_parts = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = scratch.keep(docs.select("doc_id", "text").mapInArrow(read_blocks(n_parts, modulus, rest), READ), "read", "kind")
-    counted_parts = scratch.keep(read.where("kind > 0").groupBy("part").applyInArrow(count_part(hashes, bits_per_entry, max_filter_bytes // n_parts), COUNTED), "counted")
+    counted_parts = scratch.keep(read.where("kind > 0").groupBy("part").applyInArrow(count_part(hashes, bits_per_entry), COUNTED), "counted")
     scratch.drop("read/kind=1")
     scratch.drop("read/kind=2")
     totals = counted_parts.where("kind = 3").agg(F.sum("tokens"), F.sum("words")).first()
     total, words = int(totals[0] or 0), int(totals[1] or 0)
-    blocks: list[np.ndarray] = [np.zeros(8, np.uint8)] * n_parts
-    for row in counted_parts.where("kind = 3").select("part", "payload").toLocalIterator():
-        blocks[row.part] = np.frombuffer(bytes(row.payload), np.uint8)
-    model = spark.sparkContext.broadcast(Filter(blocks, hashes))
-    both = read.where("kind = 0").unionByName(counted_parts.where("kind = 1").select("kind", "chunk", "part", "payload"))
-    scores = scratch.keep(both.groupBy("chunk").applyInArrow(score_chunk(model, total, words, mu), SCORES), "scores")
-    # The filter leaves the workers' memory, and the tables the disk, before the scores are read.
-    model.destroy()
+    both = read.where("kind = 0").unionByName(counted_parts.where("kind < 3").select("kind", "chunk", "part", "payload"))
+    scores = scratch.keep(both.groupBy("chunk").applyInArrow(score_chunk(total, words, mu), SCORES), "scores")
+    # The tables leave the disk before the scores are read.
     scratch.drop("read")
     scratch.drop("counted")
     return scores
