@@ -42,6 +42,31 @@ def dedupe_merge(records: str) -> Column:
     return F.expr(fold(f"filter({records}, r -> r.national_id is null)", by_id, f"array_position(transform(acc, e -> {alike}), true) - 1"))
 
 
+def dedupe_merge_sql(records: str, key: str) -> str:
+    """``dedupe_merge`` over a DuckDB query of records with a rank, as its own folds: the SQL that checks it."""
+    names = [f.split(":")[0] for f in RECORD[7:-1].split(",")]
+    name = "regexp_replace(trim(coalesce({0}.full_name, '')), '\\s+', ' ', 'g')"
+    words = "case when coalesce({0}.full_name, '') = '' then 0 else len(string_split(" + name + ", ' ')) end"
+    score = "(case when {0}.national_id is not null then 10 else 0 end + case when {0}.source = 'rules' then 8 else 0 end + case when {0}.extraction_method = 'direct_legal_phrase' then 4 else 0 end + " + words + " + case when {0}.needs_review then 0 else 2 end)"
+    wins = f"{score.format('r[1]')} > {score.format('e')}"
+    filled = {n: f"z.x.{n}" for n in names} | {n: f"coalesce(z.x.{n}, z.y.{n})" for n in ("national_id", "registration_number", "extraction_method")}
+    filled["needs_review"] = f"case when z.x.national_id is not null and {words.format('z.x')} >= 3 then false else z.x.needs_review end"
+    filled["source"] = "case when z.x.source <> z.y.source and 'rules' in (z.x.source, z.y.source) then 'rules+ner' else z.x.source end"
+    both = f"[{{'x': case when {wins} then r[1] else e end, 'y': case when {wins} then e else r[1] end}}]"
+    merged = f"list_transform({both}, lambda z: {{{', '.join(f"'{n}': {x}" for n, x in filled.items())}}})[1]"
+    alike = f"{name.format('e')} <> '' and {name.format('r[1]')} <> '' and (contains({name.format('e')}, {name.format('r[1]')}) or contains({name.format('r[1]')}, {name.format('e')}))"
+
+    def fold(test: str, start: str, place: str) -> str:
+        step = f"list_transform([coalesce({place}, 0)], lambda p: case when p = 0 then list_concat(acc, r) else list_transform(acc, lambda e, i: case when i = p then {merged} else e end) end)[1]"
+        return f"list_reduce(list_transform(list_filter(records, lambda v: {test}), lambda v: [v]), lambda acc, r: {step}, {start})"
+
+    by_id = fold("v.national_id is not null", "list_slice(records, 1, 0)", "list_position(list_transform(acc, lambda e: e.national_id), r[1].national_id)")
+    persons = fold("v.national_id is null", by_id, f"list_position(list_transform(acc, lambda e: {alike}), true)")
+    order = ", ".join(["rank", *(f"{n} nulls first" for n in names)])
+    grouped = f"select {key}, list({{{', '.join(f"'{n}': {n}" for n in names)}}} order by {order}) as records from ({records}) group by {key}"
+    return f"select {key}, {persons} as persons from ({grouped})"
+
+
 def reading_order(detections: str) -> Column:
     """Texts of detections {bbox, text, conf} from top to bottom and right to left.
 

@@ -95,13 +95,67 @@ def field_results() -> Flow:
     def rows(d: Dialect) -> str:
         return d.items(*(d.struct(field=d.text(n), auto_value=f"a_{n}", reviewed_value=n) for n in FIELDS))
 
-    out = pairs.explode("r", rows).select(KEY, field=lambda d: "r.field", auto_value=lambda d: "r.auto_value", reviewed_value=lambda d: "r.reviewed_value")
+    return pairs.explode("r", rows).select(KEY, field=lambda d: "r.field", auto_value=lambda d: "r.auto_value", reviewed_value=lambda d: "r.reviewed_value")
 
+
+def measured(flow: Flow) -> Flow:
+    """Whether values agree as the measured accuracy compares them: by the norms of reviews, two empty ones agree."""
     def equal(d: Dialect) -> str:
         a, b = (f"case when field = 'document_date' then {E.review_date(d, v)} else {E.review_value(d, v)} end" for v in ("auto_value", "reviewed_value"))
         return f"({a}) is not distinct from ({b})" if not d.spark else f"({a}) <=> ({b})"
 
-    return out.add(correct=equal)
+    return flow.add(correct=equal)
+
+
+def exact(flow: Flow) -> Flow:
+    """Whether values agree as the report of fields compares them: but for spaces, in any other letter not."""
+    return flow.add(correct=lambda d: "(" + " = ".join(E.squeeze(d, f"coalesce({v}, '')") for v in ("auto_value", "reviewed_value")) + ")")
+
+
+def extracted_persons() -> Flow:
+    """The extractor's persons, a row each, numbered in their order."""
+    flow = Flow(merged_persons, R.dedupe_merge_sql(person_records().duckdb, KEY))
+    out = flow.places("record_index", lambda d: "persons").add(p=lambda d: d.at("persons", "record_index"))
+    return out.select(KEY, "record_index", a_name=lambda d: "p.full_name", a_id=lambda d: "p.national_id", a_reg=lambda d: "p.registration_number", a_type=lambda d: "p.person_type")
+
+
+def reviewed_persons(auto: Flow) -> Flow:
+    """The persons of the reviewed documents: the truth in the rows of the extracted ones by id or registration number, without a row if they were missed; with edits."""
+    def truth(d: Dialect) -> str:
+        rows = (("name1", "id1", P.null(d), "'Individual'"), ("name2", "id2", P.null(d), "'Individual'"), ("company", P.null(d), "reg", "'Company'"))
+        return d.items(*(d.struct(place=str(i), name=n, id=no, reg=r, type=t) for i, (n, no, r, t) in enumerate(rows, 1)))
+
+    rows = raw().where(lambda d: "k % 11 <> 0").explode("t", truth).where(lambda d: "not (k % 6 = 2 and t.place = 1)").select(
+        KEY, own=lambda d: "coalesce(t.id, t.reg)", r_name=lambda d: "case when t.place = 1 and k % 3 = 0 then concat(t.name, ' ') else t.name end",
+        r_id=lambda d: "case when t.place = 1 and k % 4 = 0 then id2 else t.id end", r_reg=lambda d: "t.reg", r_type=lambda d: "t.type",
+    )
+    places = auto.select(KEY, "record_index", own=lambda d: "coalesce(a_id, a_reg)").where(lambda d: "own is not null").group(KEY, "own", record_index=lambda d: "min(record_index)")
+    return rows.join(places, KEY, "own", how="left").select(KEY, "record_index", "r_name", "r_id", "r_reg", "r_type")
+
+
+def person_field_results(auto: Flow, review: Flow) -> Flow:
+    """Three fields of each person of either side, matched by record_index; the identifier depends on the reviewed type, else the extracted one."""
+    both = auto.join(review, KEY, "record_index", how="full").add(kind=lambda d: "coalesce(nullif(r_type, ''), a_type)")
+
+    def rows(d: Dialect) -> str:
+        identifier = {x: f"case when kind = 'Company' then {x}_reg else {x}_id end" for x in "ar"}
+        return d.items(
+            d.struct(field="'full_name'", auto_value="a_name", reviewed_value="r_name"), d.struct(field="'identifier'", auto_value=identifier["a"], reviewed_value=identifier["r"]),
+            d.struct(field="'person_type'", auto_value="a_type", reviewed_value="r_type"),
+        )
+
+    return both.explode("r", rows).select(KEY, field=lambda d: "r.field", auto_value=lambda d: "r.auto_value", reviewed_value=lambda d: "r.reviewed_value")
+
+
+def all_field_results() -> Flow:
+    """The four fields and the persons' fields of every reviewed document."""
+    auto = extracted_persons().join(reviewed().select(KEY), KEY, how="left_semi")
+    return field_results().union(person_field_results(auto, reviewed_persons(auto)))
+
+
+def field_accuracy(flow: Flow) -> Flow:
+    """The corpus's accuracy of each field, a fraction of 4 decimals."""
+    return accuracy(flow, "field").select("field", "total_fields", "correct_fields", "incorrect_fields", accuracy=lambda d: "round(cast(correct_fields as double) / cast(total_fields as double), 4)")
 
 
 def accuracy(flow: Flow, *keys: str) -> Flow:
@@ -184,7 +238,7 @@ def flows() -> dict[str, Flow]:
         "ner_nearby_id": entities().select(KEY, national_id=lambda d: P.nearby_id(d, "text", "start_char", "end_char")),
         "paired_documents": header_fields().select(KEY).join(reviewed().select(KEY), KEY), "unreviewed_documents": raw().select(KEY).join(reviewed().select(KEY), KEY, how="left_anti"),
         "best_available": raw().select(KEY, auto_case=lambda d: "case_no").join(reviewed().select(KEY, reviewed_case=lambda d: "case_number"), KEY, how="full").select(KEY, case_number=lambda d: "case when reviewed_case is not null then reviewed_case else auto_case end", reviewed=lambda d: "reviewed_case is not null"),
-        "measured_accuracy": accuracy(field_results(), KEY), "field_accuracy": accuracy(field_results(), "field"),
+        "measured_accuracy": accuracy(measured(all_field_results()), KEY), "field_accuracy": field_accuracy(exact(field_results())),
         "person_match": person_results().group("state", n=lambda d: "count(*)", names=lambda d: "cast(sum(case when name_correct then 1 else 0 end) as bigint)", ids=lambda d: "cast(sum(case when id_correct then 1 else 0 end) as bigint)"),
         "detection_prf": person_results().group(tp=lambda d: "cast(sum(case when state = 'kept' then 1 else 0 end) as bigint)", fp=lambda d: "cast(sum(case when state = 'removed' then 1 else 0 end) as bigint)", fn=lambda d: "cast(sum(case when state = 'added' then 1 else 0 end) as bigint)").add(precision=lambda d: "round(cast(tp as double) / (tp + fp), 4)", recall=lambda d: "round(cast(tp as double) / (tp + fn), 4)"),
         "ocr_quality": clean().select(KEY, score=lambda d: E.ocr_quality(d, "text", "cast(k % 101 as double) / 100")),
@@ -231,16 +285,27 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(validated()).spark(spark, sf_dir).select(KEY, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def person_records() -> Flow:
+    """The records of both rules, direct phrases (rank 0) before keyword lines."""
+    line = person_columns(keyword_lines().add(v=lambda d: P.validate(d, "p")), "v").add(source=lambda d: "'rules'", extraction_method=lambda d: "'keyword_line'", rank=lambda d: "1")
+    phrase = direct().select(
+        KEY, "full_name", "national_id", registration_number=P.null, person_type=lambda d: "'Individual'", confidence=lambda d: "cast(0.9 as double)", needs_review=lambda d: "false",
+        source=lambda d: "'rules'", extraction_method=lambda d: "'direct_legal_phrase'", rank=lambda d: "0",
+    )
+    return phrase.union(line)
+
+
+def merged_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged persons of every document that has one."""
+    names = [f.split(":")[0] for f in R.RECORD[7:-1].split(",")]
+    grouped = person_records().spark(spark, sf_dir).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*names).alias("r")))).alias("rs"))  # one document's records
+    return grouped.selectExpr(KEY, f"cast(transform(rs, x -> x.r) as array<{R.RECORD}>) as records").select(KEY, R.dedupe_merge("records").alias("persons"))
+
+
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: validated fields and validated, merged persons of every document, as one plan."""
     fields = validated().select(KEY, **{n: (lambda d, n=n: f"{n}") for n in FIELDS}).spark(spark, sf_dir)
-    line = person_columns(keyword_lines().add(v=lambda d: P.validate(d, "p")), "v").spark(spark, sf_dir).withColumns({"source": F.lit("rules"), "extraction_method": F.lit("keyword_line")})
-    phrase = direct().spark(spark, sf_dir).selectExpr(KEY, "full_name", "national_id", "cast(null as string) registration_number", "'Individual' person_type", "0.9D confidence", "false needs_review", "'rules' source", "'direct_legal_phrase' extraction_method")
-    names = [f.split(":")[0] for f in R.RECORD[7:-1].split(",")]
-    both = phrase.withColumn("rank", F.lit(0)).unionByName(line.withColumn("rank", F.lit(1)))
-    grouped = both.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*names).alias("r")))).alias("rs"))  # one document's records
-    merged = grouped.selectExpr(KEY, f"cast(transform(rs, x -> x.r) as array<{R.RECORD}>) as records").select(KEY, R.dedupe_merge("records").alias("persons"))
-    return fields.join(merged, KEY, "left")
+    return fields.join(merged_persons(spark, sf_dir), KEY, "left")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
