@@ -94,7 +94,7 @@ ALIKE = {"عمان": "معان", "معان": "عمان", "اربد": "إربد",
 def known_court(d: Dialect, text: str) -> str:
     """The listed court with the most words found among the first four of an 80-character window at some محكمة; then the earliest window, then the list's order.
 
-    Words match if equal or alike; misread words that are not in the list's alphabet of words are matched by ``fuzzy_courts``.
+    Words match if equal or alike; misread words that are not in the list are not matched yet.
     """
     parts = d.split(text, "محكمة")
     offsets = f"transform(sequence(1, greatest(size({parts}) - 1, 1)), i -> length(array_join(slice({parts}, 1, i), 'محكمة')))" if d.spark else f"list_transform(range(1, greatest(len({parts}) - 1, 1) + 1), lambda i: length(coalesce(array_to_string(list_slice({parts}, 1, i), 'محكمة'), '')))"
