@@ -68,3 +68,13 @@ def test_measured_accuracy_of_the_corpus(spark):
     """A document without edits: two persons found, the company added by the review, three fields each."""
     rows = {r.document_id: (r.total_fields, r.correct_fields, r.accuracy) for r in catalog.queries()["measured_accuracy"](spark, SF).where("document_id in (5, 9)").collect()}
     assert rows == {5: (13, 10, 76.9), 9: (13, 10, 76.9)}
+
+
+def test_rollup_decides_engine_and_status(spark):
+    """The most pages win, ties go to the engine seen first, and nothing wins without a success."""
+    pages = [(1, 1, "easyocr"), (1, 2, "tesseract"), (1, 3, "tesseract"), (2, 1, "tesseract"), (2, 2, "easyocr"), (3, 1, None), (3, 2, None), (4, 1, None), (4, 2, None), (4, 3, "easyocr")]
+    flow = catalog.rollup(by_hand(spark, "document_id long, page_number long, selected_engine string, needs_review boolean, fallback boolean", [(*x, x[2] is None, False) for x in pages]))
+    columns = ("document_id", "pages", "ok_pages", "to_review", "selected_engine", "ocr_status")
+    expected = [(1, 3, 3, 0, "tesseract", "success"), (2, 2, 2, 0, "tesseract", "success"), (3, 2, 0, 2, None, "failed"), (4, 3, 1, 2, "easyocr", "success")]
+    assert sorted(tuple(r[c] for c in columns) for r in flow.spark(spark, "").collect()) == expected
+    assert duckdb.sql(f"select {', '.join(columns)} from ({flow.duckdb}) order by 1").fetchall() == expected

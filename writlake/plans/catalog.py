@@ -193,6 +193,16 @@ def picked() -> Flow:
     return out.select(KEY, "page_number", selected_engine=lambda d: "best.engine", quality_score=lambda d: "coalesce(best.score, cast(0.0 as double))", needs_review=lambda d: "coalesce(best.score, 0.0) < 0.75", fallback=lambda d: "two.status <> 'skipped'")
 
 
+def rollup(pages: Flow) -> Flow:
+    """A document's counts, its status, and the engine of the most pages (ties by its first page), null if no page succeeded."""
+    total = lambda x: lambda d: f"cast(sum({x}) as bigint)"
+    engines = pages.group(KEY, "selected_engine", n=lambda d: "count(*)", first_page=lambda d: "min(page_number)", reviews=lambda d: "sum(case when needs_review then 1 else 0 end)", fell=lambda d: "bool_or(fallback)")
+    engines = engines.add(ok=lambda d: "case when selected_engine is null then 0 else n end")
+    best = lambda d: f"{'max_by' if d.spark else 'arg_max'}(selected_engine, {d.struct(ok='ok', first_page='-first_page')})"
+    out = engines.group(KEY, pages=total("n"), ok_pages=total("ok"), to_review=total("reviews"), fallback_used=lambda d: "bool_or(fell)", selected_engine=best)
+    return out.add(ocr_status=lambda d: "case when ok_pages > 0 then 'success' else 'failed' end")
+
+
 def entities() -> Flow:
     """A person's mention in every text, with its span."""
     place = lambda d: f"{'instr' if d.spark else 'strpos'}(text, substr(name1, 1, 4)) - 1"
@@ -243,7 +253,7 @@ def flows() -> dict[str, Flow]:
         "detection_prf": person_results().group(tp=lambda d: "cast(sum(case when state = 'kept' then 1 else 0 end) as bigint)", fp=lambda d: "cast(sum(case when state = 'removed' then 1 else 0 end) as bigint)", fn=lambda d: "cast(sum(case when state = 'added' then 1 else 0 end) as bigint)").add(precision=lambda d: "round(cast(tp as double) / (tp + fp), 4)", recall=lambda d: "round(cast(tp as double) / (tp + fn), 4)"),
         "ocr_quality": clean().select(KEY, score=lambda d: E.ocr_quality(d, "text", "cast(k % 101 as double) / 100")),
         "ocr_router_pick": picked(),
-        "ocr_doc_rollup": picked().group(KEY, pages=lambda d: "count(*)", ok_pages=lambda d: "count(selected_engine)", to_review=lambda d: "cast(sum(case when needs_review then 1 else 0 end) as bigint)", fallback_used=lambda d: "bool_or(fallback)"),
+        "ocr_doc_rollup": rollup(picked()),
         "export_rows": exported(keyed),
         "upload_filter": Flow.table("pages", "page_id", "url", "html").select("page_id", allowed=lambda d: f"{d.matches('lower(url)', '[.](pdf|jpe?g|png)$')} and octet_length({'html' if d.spark else 'encode(html)'}) <= 20971520"),
         "next_document_id": Flow.table("documents", "doc_id", "source").group(next_id=lambda d: "max(doc_id) + 1"),
