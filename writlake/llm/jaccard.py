@@ -1,18 +1,20 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Texts with equal sets are one class. Columns (n-grams) are ordered rare first, by a fixed-size sketch of their counts; two sets
-that link share columns among the first n - ceil(t n) + 1 of each, so only those entries are multiplied first: the products' overlap counts
-are accumulated, and pairs below the bounds that their sizes give (on the sizes, on the shared columns, on what can follow a shared
-place) are discarded. The other pairs are dealt to blocks (a row and some of its
-partners), which hold whole rows, and the block's product accumulates the overlap counts that decide the links.
-
-A class that meets thousands of others is not multiplied with each: rounds first join every class to one partner of its
+Texts with equal sets are one class. Chunks of texts send their distinct n-grams to parts of the hash range, which count them
+exactly and answer with the columns (n-grams) that are in two sets or more. Columns are ordered rare first; two sets that
+link share one among the first n - ceil(t n) + 1 of each, so only those entries are multiplied, and n-grams of one set alone, which
+most of them are, never leave their chunk. Pairs beyond the bounds that their sizes and a shared column's places give are
+discarded. The other pairs are dealt to blocks (a row and some of its partners), which hold whole rows, and the block's product
+accumulates the overlap counts that decide the links.
+
+A class that meets thousands of others is not multiplied with each: rounds first join every class to a few partners of its
 columns, and then only pairs of different components are left, of which all are tested. So no link between components is missed,
 and no group of copies is expanded into pairs.
 
 Nulls and texts without words have empty sets, link with nothing, and are their own component; fewer words than a shingle make
 one shingle. Equal texts (also with equal ids) share a class; null ids never name a component that has another id; other columns are
-ignored; an empty table gives an empty result. Shingles, sets and texts are compared by 64-bit hashes.
+ignored; an empty table gives an empty result. Shingles, sets and texts are compared by 64-bit hashes; the counts that order
+the columns take 48 bits of them, where two n-grams that fall together only count as more frequent.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from writlake.llm.common import WORD, Scratch, coded_words, mix64, prepare, segment_sums, slices
+from writlake.llm.common import WORD, Scratch, coded_words, delta, mix64, pack, prepare, segment_sums, slices, undelta, unpack
 
-SKETCH_BITS, SEGMENTS, SALTS, MOST_BROADCAST = 20, 16, 16, 500_000
+MOST_BROADCAST, PARTNERS = 500_000, 6
+#: Text of a chunk, and of a part of the n-grams; both grow with the root of the input, so that what a chunk sends to a part stays about 1 KB.
+CHUNK_BYTES, PIECE_BYTES = 8 << 20, 1000
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -57,72 +61,99 @@ def set_keys(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return mix64(sums + counts.astype(np.uint64) * _A).view(np.int64)
 
 
-PROFILE = "kind int, doc_id long, text_key long, cls long, n int, segment int, salt int, payload binary"
+INCIDENCE = "kind int, doc_id long, text_key long, cls long, n int, part int, chunk long, payload binary"
+COUNTED = "kind int, part int, chunk long, payload binary"
+ENTRIES = "gram long, cls long, n int, place int"
+
+
+def row_of(kind: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of INCIDENCE rows with some of its columns."""
+    kinds = {"doc_id": pa.int64(), "text_key": pa.int64(), "cls": pa.int64(), "n": pa.int32(), "part": pa.int32(), "chunk": pa.int64(), "payload": pa.binary()}
+    return pa.record_batch({"kind": pa.array(np.full(size, kind, np.int32))} | {n: columns.get(n, pa.nulls(size, k)) for n, k in kinds.items()})
 
 
-def profile(words: int):
-    """A row for each text (kind 0), and the sketch of this task's distinct sets (1)."""
+def incidence(words: int, parts: int, chunk_bytes: int):
+    """A row for each text (kind 0); for each chunk, the sets that this task has not seen as places in the chunk's sorted n-grams (1), and those n-grams by part of the hash range (2)."""
+    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches, most=4 << 20):
+        chunk, seen = TaskContext.get().partitionId() << 24, np.zeros(0, np.int64)
+        for batch in slices(batches, most=chunk_bytes):
             grams, counts = shingle_sets(batch.column("text"), words)
-            keys, m = set_keys(grams, counts), len(counts)
-            new = np.zeros(m, bool)
+            keys = set_keys(grams, counts)
+            yield row_of(0, len(keys), doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), cls=pa.array(keys, mask=counts == 0), n=pa.array(counts.astype(np.int32)))
+            new = np.zeros(len(keys), bool)
             new[np.unique(keys, return_index=True)[1]] = True
-            new &= ~np.isin(keys, seen)
+            new &= ~np.isin(keys, seen) & (counts > 0)
+            if not new.any():
+                continue
             seen = np.concatenate([seen, keys[new]])
-            sketch += np.bincount((grams[np.repeat(new, counts)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            yield pa.record_batch({"kind": pa.array(np.zeros(m, np.int32)), "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "cls": pa.array(keys, mask=counts == 0), "n": pa.array(counts.astype(np.int32)), "segment": pa.nulls(m, pa.int32()), "salt": pa.nulls(m, pa.int32()), "payload": pa.nulls(m, pa.binary())})
-        parts = sketch.reshape(SEGMENTS, -1)
-        some = [i for i in range(SEGMENTS) if parts[i].any()]
-        none = lambda kind: pa.nulls(len(some), kind)
-        yield pa.record_batch({"kind": pa.array([1] * len(some), pa.int32()), "doc_id": none(pa.int64()), "text_key": none(pa.int64()), "cls": none(pa.int64()), "n": none(pa.int32()), "segment": pa.array(some, pa.int32()), "salt": pa.array([TaskContext.get().partitionId() % SALTS] * len(some), pa.int32()), "payload": pa.array([parts[i].astype("<i8").tobytes() for i in some], pa.binary())})
+            grams, keys, counts = grams[np.repeat(new, counts)], keys[new], counts[new]
+            names, where, times = np.unique(grams, return_inverse=True, return_counts=True)
+            yield row_of(1, 1, chunk=pa.array([chunk], pa.int64()), payload=pa.array([pack(keys, counts.astype(np.int32), np.array([len(names)]), planes(np.diff(where.astype(np.int32), prepend=np.int32(0))))], pa.binary()))
+            edges = [0, *np.searchsorted(names, bounds).tolist(), len(names)]
+            some = [i for i in range(parts) if edges[i] < edges[i + 1]]
+            send = [pack(np.array([edges[i]]), delta(names[edges[i] : edges[i + 1]] >> np.uint64(16)), np.minimum(times[edges[i] : edges[i + 1]], 255).astype(np.uint8)) for i in some]
+            yield row_of(2, len(some), part=pa.array(some, pa.int32()), chunk=pa.array([chunk] * len(some), pa.int64()), payload=pa.array(send, pa.binary()))
+            chunk += 1
 
     return run
 
 
-def add_sketches(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table.column("payload").to_pylist())
-    return pa.table({"segment": table.column("segment")[:1], "salt": table.column("salt")[:1], "payload": pa.array([total.tobytes()], pa.binary())})
+def planes(values: np.ndarray) -> np.ndarray:
+    """32-bit numbers as byte planes, which compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T).reshape(-1)
 
 
-def read_sketch(profiles: DataFrame) -> np.ndarray:
-    """Rough counts of shingles as levels, four to a doubling: one byte for each of the sketch's cells, whatever the input."""
-    kind = "segment int, salt int, payload binary"
-    rows = profiles.where("kind = 1").select("segment", "salt", "payload").groupBy("segment", "salt").applyInArrow(add_sketches, kind)
-    rows = rows.groupBy("segment").applyInArrow(add_sketches, kind)
-    out = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.uint8)
-    for row in rows.toLocalIterator():
-        out[row.segment] = np.minimum(4 * np.log2(np.frombuffer(bytes(row.payload), "<i8") + 1), 255)
-    return out.reshape(-1)
+def unplanes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(4, -1).T).reshape(-1).view(np.int32)
 
 
-ENTRIES = "gram long, cls long, n int, place int"
+def count_part(table: pa.Table) -> pa.Table:
+    """The part's columns, numbered; each chunk is told which of its n-grams are columns, their numbers and the levels (eight to a doubling) of their counts."""
+    got = [unpack(x) for x in table.column("payload").to_pylist()]
+    names = [undelta(x[1]) for x in got]
+    _, where = np.unique(np.concatenate(names), return_inverse=True)
+    total = np.bincount(where, weights=np.concatenate([x[2] for x in got]))
+    level = np.where(total > 1, np.minimum(8 * np.log2(np.maximum(total, 1)), 255), 0).astype(np.uint8)
+    out, at = [], 0
+    for x, own in zip(got, names, strict=True):
+        mine = where[at : at + len(own)]
+        at += len(own)
+        local = np.flatnonzero(level[mine])
+        ids = mine[local]
+        out.append(pack(x[0], planes(np.diff(local.astype(np.int32), prepend=np.int32(0))), planes(np.diff(ids.astype(np.int32), prepend=np.int32(0))), level[ids]))
+    return pa.table({"kind": pa.array([3] * len(out), pa.int32()), "part": table.column("part"), "chunk": table.column("chunk"), "payload": pa.array(out, pa.binary())})
 
 
-def first_entries(words: int, num: int, den: int, sketch):
-    """Of each set that this task has not seen, the first entries in column order, and their places."""
+def first_entries(num: int, den: int):
+    """The shared columns among the first entries of each set of a chunk, with their places in the order of columns; n-grams of one set alone come first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
-        for batch in slices(batches, most=4 << 20):
-            grams, counts = shingle_sets(batch.column("text"), words)
-            keys = set_keys(grams, counts)
-            new = np.zeros(len(keys), bool)
-            new[np.unique(keys, return_index=True)[1]] = True
-            new &= ~np.isin(keys, seen) & (counts > 0)
-            seen = np.concatenate([seen, keys[new]])
-            grams = grams[np.repeat(new, counts)]
-            keys, counts = keys[new], counts[new]
-            row = np.repeat(np.arange(len(counts)), counts)
-            level = sketch.value[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            order = np.lexsort((grams, level, row))
-            place = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keep = place < (counts - (counts * num + den - 1) // den + 1)[row]
-            yield pa.record_batch({"gram": pa.array(grams[order][keep].view(np.int64)), "cls": pa.array(keys[row][keep]), "n": pa.array(counts[row][keep].astype(np.int32)), "place": pa.array(place[keep].astype(np.int32))})
+    def run(table: pa.Table) -> pa.Table:
+        kind, payload, part = table.column("kind").to_pylist(), table.column("payload").to_pylist(), table.column("part").to_pylist()
+        keys, counts, size, steps = unpack(payload[kind.index(1)])
+        level, gram = np.zeros(int(size[0]), np.uint8), np.zeros(int(size[0]), np.int64)
+        for k, x, p in zip(kind, payload, part, strict=True):
+            if k == 3:
+                base, local, ids, own = unpack(x)
+                at = int(base[0]) + np.cumsum(unplanes(local), dtype=np.int64)
+                level[at], gram[at] = own, (p << 32) + np.cumsum(unplanes(ids), dtype=np.int64)
+        where = np.cumsum(unplanes(steps), dtype=np.int32)
+        shared = level[where] > 0
+        alone = counts - segment_sums(shared, counts)
+        most = counts - (counts.astype(np.int64) * num + den - 1) // den + 1
+        row = np.repeat(np.arange(len(counts)), counts)
+        some = np.flatnonzero(shared & (alone < most)[row])
+        row, where = row[some], where[some]
+        order = np.lexsort((where, gram[where], level[where], row))
+        row, where = row[order], where[order]
+        first = np.searchsorted(row, row, "left")
+        place = alone[row] + np.arange(len(row)) - first
+        keep = place < most[row]
+        row, where, place = row[keep], where[keep], place[keep]
+        return pa.table({"gram": pa.array(gram[where]), "cls": pa.array(keys[row]), "n": pa.array(counts[row].astype(np.int32)), "place": pa.array(place.astype(np.int32))})
 
     return run
 
@@ -161,17 +192,6 @@ def size_bound(num: int, den: int) -> Column:
     return F.least("n", "n2") * den >= F.greatest("n", "n2") * num
 
 
-def least_shared(num: int, den: int) -> Column:
-    """How many of the multiplied columns a linked pair shares at least.
-
-    With an overlap of o, a set has at most n - o columns of its own, so that its j-th common column is among its first
-    j + n - o; as long as that is within the multiplied ones of both sets, it was counted.
-    """
-    overlap = f"((n + n2) * {num}L + {num + den - 1}) div {num + den}"
-    own = lambda n: f"(({n}) - (({n}) * {num}L + {den - 1}) div {den} + 1) - (({n}) - {overlap})"
-    return F.expr(f"greatest(least({own('n')}, {own('n2')}), 1)")
-
-
 def may_link(num: int, den: int) -> Column:
     """Bounds on a pair from sizes and from the places of a shared column."""
     sizes = size_bound(num, den)
@@ -204,14 +224,21 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return others.unionByName(hubs).groupBy("hub", "salt").applyInArrow(block_product(num, den), "a long, b long")
 
 
-def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """Texts with their class, and the component of every class that has a link."""
     spark: SparkSession = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    profiles = scratch.keep(keyed.mapInArrow(profile(words), PROFILE), "profiles")
-    texts = profiles.where("kind = 0").select("doc_id", "text_key", "cls", "n")
-    sketch = spark.sparkContext.broadcast(read_sketch(profiles))
-    entries = scratch.keep(keyed.select("text").mapInArrow(first_entries(words, num, den, sketch), ENTRIES), "entries")
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunk_bytes = max(CHUNK_BYTES, int((size * PIECE_BYTES) ** 0.5))
+    parts = int(size // chunk_bytes) + 1
+    kept = scratch.keep(keyed.mapInArrow(incidence(words, parts, chunk_bytes), INCIDENCE), "incidence", "kind")
+    texts = kept.where("kind = 0").select("doc_id", "text_key", "cls", "n")
+    counted = scratch.keep(kept.where("kind = 2").select("kind", "part", "chunk", "payload").groupBy("part").applyInArrow(count_part, COUNTED), "counted")
+    scratch.drop("incidence/kind=2")
+    sent = kept.where("kind = 1").select("kind", "part", "chunk", "payload").unionByName(counted)
+    entries = scratch.keep(sent.groupBy("chunk").applyInArrow(first_entries(num, den), ENTRIES), "entries")
+    scratch.drop("incidence/kind=1")
+    scratch.drop("counted")
     columns = entries.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("gram")
     members = scratch.keep(entries.join(columns, "gram").distinct(), "members")
     scratch.drop("entries")
@@ -233,21 +260,19 @@ def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Sc
         mixed = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gram")
         placed = scratch.keep(placed.join(mixed, "gram"), f"placed-{i}")
         if not last:
-            # Every class with one partner: of the columns' chosen members, the one it shares the most columns with.
-            chosen = placed.groupBy("gram").agg(F.min_by(F.struct(F.col("cls").alias("hub"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2")), F.xxhash64("comp", F.lit(i), "cls")).alias("h"))
+            # Every class with a few partners: of the columns' chosen members, those it shares the most columns with.
+            chosen = placed.groupBy("gram").agg(F.min_by(F.struct(F.col("cls").alias("hub"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2")), F.struct(F.expr(f"place + pmod(xxhash64(gram, {i}, cls), {1 + 4 * i})"), F.xxhash64("gram", "cls"))).alias("h"))
             met = placed.join(chosen.select("gram", "h.*"), "gram").where("comp != comp2").where(may_link(num, den))
-            met = met.groupBy("cls", "hub").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("n2").alias("n2")).where(F.col("shared") * 2 >= least_shared(num, den))
-            pairs = met.groupBy(F.col("cls").alias("x")).agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub"))
+            met = met.groupBy("cls", "hub").agg(F.count("*").alias("shared"))
+            best = Window.partitionBy("cls").orderBy(F.desc("shared"), "hub")  # a class meets one partner a column at most
+            pairs = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PARTNERS).select(F.col("cls").alias("x"), "hub")
         else:
             # All pairs that are left: one of the two is outside the column's largest component.
             sizes = placed.groupBy("gram", "comp").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
             placed = placed.join(sizes, "gram")
             strays = placed.where("comp != major").select("gram", F.col("cls").alias("hub"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2"))
-            met = placed.join(strays, "gram").where("comp != comp2 and (comp = major or cls < hub)").where(size_bound(num, den))
-            # Either of two may be the stray one in a column.
-            met = met.select(F.least("cls", "hub").alias("cls"), F.greatest("cls", "hub").alias("hub"), F.when(F.col("cls") < F.col("hub"), F.col("n")).otherwise(F.col("n2")).alias("n"), F.when(F.col("cls") < F.col("hub"), F.col("n2")).otherwise(F.col("n")).alias("n2"), may_link(num, den).alias("may"))
-            met = met.groupBy("cls", "hub").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("n2").alias("n2"), F.bool_or("may").alias("may"))
-            pairs = met.where(F.col("may") & (F.col("shared") >= least_shared(num, den))).select(F.col("cls").alias("x"), "hub")
+            met = placed.join(strays, "gram").where("comp != comp2 and (comp = major or cls < hub)").where(may_link(num, den))
+            pairs = met.select(F.least("cls", "hub").alias("x"), F.greatest("cls", "hub").alias("hub")).distinct()
         pairs = scratch.keep(pairs, f"pairs-{i}")
         scratch.drop(f"placed-{i}")
         found = scratch.keep(verified(pairs, sets_of(pairs, f"sets-{i}"), num, den), f"links-{i}")
