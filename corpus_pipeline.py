@@ -14,6 +14,8 @@ from writlake.llm.common import Scratch, tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REJECT = 0.3
+#: Bytes of a repeated passage at least; a passage of over 50 words has more (5.2 bytes a word are the fewest seen in such text).
+REPEAT = 240
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of strings of 400 bytes that start twice."""
-    return runlength_index.remove_repeats(docs.select(*COLUMNS), least=400).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without the bytes of strings of REPEAT bytes that start twice, in whole characters."""
+    return runlength_index.remove_repeats(docs.select(*COLUMNS), least=REPEAT).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from array import array
@@ -25,12 +26,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> str:
     """Return the shared scratch folder of the session, and let Python workers import this package.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is made.
+    The folder is ``spark.checkpoint.dir``; only where that is unset and all runs on this machine a local one is made.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark.conf.get("spark.checkpoint.dir", None) or own_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or own_folder()
 
 
 @functools.cache
@@ -44,16 +48,18 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{prepare(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        """Write the table, in folders ``by`` some columns, and read it."""
+    def keep(self, df: DataFrame, name: str, tasks: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+        """Write the table (by at most so many tasks where its size is known, in folders by some columns) and read it."""
         path = f"{self.base}/{name}"
-        df.write.partitionBy(*by).parquet(path)
+        (df.coalesce(max(tasks, 1)) if tasks is not None else df).write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
+        """Delete a table that is read no more; the driver's collector then lets go of the shuffles behind it too."""
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
 
 
 def plain(texts: pa.Array) -> pa.Array:
@@ -198,8 +204,6 @@ class TokenIds:
         texts = plain(texts)
         if self.boundary == "word":
             return split_words(texts)
-        import re
-
         # A cut before a lone space between two other characters; other white space stays inside a piece.
         odd = pc.match_substring_regex(texts, r"[\s\p{Z}\x{1c}-\x{1f}\x{85}] | [\s\p{Z}\x{1c}-\x{1f}\x{85}]").to_numpy(zero_copy_only=False)
         marked = pc.match_substring(texts, FIRST).to_numpy(zero_copy_only=False)

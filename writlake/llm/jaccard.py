@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from writlake.llm.common import WORD, Scratch, coded_words, delta, mix64, pack, prepare, segment_sums, slices, undelta, unpack
 
-MOST_BROADCAST, PARTNERS = 500_000, 6
+MOST_BROADCAST, PARTNERS, ROWS = 500_000, 6, 100_000
 #: Text of a chunk, and of a part of the n-grams; both grow with the root of the input, so that what a chunk sends to a part stays about 1 KB.
-CHUNK_BYTES, PIECE_BYTES = 8 << 20, 1000
+CHUNK_BYTES, PIECE_BYTES = 3 << 20, 1000
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -199,17 +199,17 @@ def may_link(num: int, den: int) -> Column:
     return sizes & (rest.cast("long") * (den + num) >= (F.col("n") + F.col("n2")).cast("long") * num)
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str, tasks: int) -> DataFrame:
     """node, comp (the smallest node reachable) of the nodes of links a, b: smallest labels of neighbours, and labels of labels."""
-    both = scratch.keep(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), f"{name}-both")
+    both = scratch.keep(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), f"{name}-both", tasks)
     labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp"))
     step = 0
     while True:
-        labels = scratch.keep(labels, f"{name}-{step}")
+        labels = scratch.keep(labels, f"{name}-{step}", tasks)
         near = both.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
         moved = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("c"))
-        after = scratch.keep(moved.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("c", "comp")).alias("comp")), f"{name}-{step}-next")
+        after = scratch.keep(moved.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("c", "comp")).alias("comp")), f"{name}-{step}-next", tasks)
         if not after.where("old != comp").limit(1).count():
             return after.select("node", "comp")
         labels, step = after.select("node", "comp"), step + 1
@@ -231,25 +231,26 @@ def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Sc
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunk_bytes = max(CHUNK_BYTES, int((size * PIECE_BYTES) ** 0.5))
     parts = int(size // chunk_bytes) + 1
-    kept = scratch.keep(keyed.mapInArrow(incidence(words, parts, chunk_bytes), INCIDENCE), "incidence", "kind")
-    texts = kept.where("kind = 0").select("doc_id", "text_key", "cls", "n")
+    kept = scratch.keep(keyed.mapInArrow(incidence(words, parts, chunk_bytes), INCIDENCE), "incidence")
     counted = scratch.keep(kept.where("kind = 2").select("kind", "part", "chunk", "payload").groupBy("part").applyInArrow(count_part, COUNTED), "counted")
-    scratch.drop("incidence/kind=2")
     sent = kept.where("kind = 1").select("kind", "part", "chunk", "payload").unionByName(counted)
     entries = scratch.keep(sent.groupBy("chunk").applyInArrow(first_entries(num, den), ENTRIES), "entries")
-    scratch.drop("incidence/kind=1")
+    texts = scratch.keep(kept.where("kind = 0").select("doc_id", "text_key", "cls", "n"), "texts")
     scratch.drop("counted")
+    scratch.drop("incidence")
     columns = entries.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("gram")
     members = scratch.keep(entries.join(columns, "gram").distinct(), "members")
     scratch.drop("entries")
+    width = members.count() // ROWS + 1
     reps = scratch.keep(texts.where("cls is not null").groupBy("cls").agg(F.min("text_key").alias("text_key")), "reps")
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         """The sets of the classes of some pairs, from one text of each."""
-        need = scratch.keep(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("hub").alias("cls"))).distinct().join(reps, "cls").select("text_key"), f"{name}-need")
-        keys = F.broadcast(need) if need.count() <= MOST_BROADCAST else need
+        need = scratch.keep(pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("hub").alias("cls"))).distinct().join(reps, "cls").select("text_key"), f"{name}-need", width)
+        many = need.count()
+        keys = F.broadcast(need) if many <= MOST_BROADCAST else need
         wanted = keyed.select("text", "text_key").join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-        return scratch.keep(wanted.select("text").mapInArrow(set_rows(words), "cls long, grams binary"), name)
+        return scratch.keep(wanted.select("text").mapInArrow(set_rows(words), "cls long, grams binary"), name, many // 1000 + 1)
 
     comps = spark.createDataFrame([], "node long, comp long")
     links = spark.createDataFrame([], "a long, b long")
@@ -258,7 +259,7 @@ def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Sc
         last = last or i == rounds
         placed = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         mixed = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("gram")
-        placed = scratch.keep(placed.join(mixed, "gram"), f"placed-{i}")
+        placed = scratch.keep(placed.join(mixed, "gram"), f"placed-{i}", width)
         if not last:
             # Every class with a few partners: of the columns' chosen members, those it shares the most columns with.
             chosen = placed.groupBy("gram").agg(F.min_by(F.struct(F.col("cls").alias("hub"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2")), F.struct(F.expr(f"place + pmod(xxhash64(gram, {i}, cls), {1 + 4 * i})"), F.xxhash64("gram", "cls"))).alias("h"))
@@ -273,16 +274,18 @@ def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Sc
             strays = placed.where("comp != major").select("gram", F.col("cls").alias("hub"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2"))
             met = placed.join(strays, "gram").where("comp != comp2 and (comp = major or cls < hub)").where(may_link(num, den))
             pairs = met.select(F.least("cls", "hub").alias("x"), F.greatest("cls", "hub").alias("hub")).distinct()
-        pairs = scratch.keep(pairs, f"pairs-{i}")
+        pairs = scratch.keep(pairs, f"pairs-{i}", None if last else width)
+        tested = pairs.count()
         scratch.drop(f"placed-{i}")
-        found = scratch.keep(verified(pairs, sets_of(pairs, f"sets-{i}"), num, den), f"links-{i}")
+        found = scratch.keep(verified(pairs, sets_of(pairs, f"sets-{i}"), num, den), f"links-{i}", tested // 2000 + 1)
         scratch.drop(f"sets-{i}")
-        if found.limit(1).count():
+        linked = found.count()
+        if linked:
             links = links.unionByName(found)
-            comps = components(links, scratch, f"components-{i}")
+            comps = components(links, scratch, f"components-{i}", max(width, links.count() // ROWS + 1))
         if last:
             break
-        last = found.count() * 50 < pairs.count()
+        last = linked * 50 < tested
     return texts, comps
 
 

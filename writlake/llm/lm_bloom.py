@@ -257,16 +257,18 @@ def score_chunk(total: int, words: int, mu: float):
     return run
 
 
-def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0, bits_per_entry: float = 8.0, hashes: int = 5) -> DataFrame:
+def lm_scores(docs: DataFrame, modulus: int = 7, rest: int = 2, mu: float = 4.0, bits_per_entry: float = 8.0, hashes: int = 5, part_bytes: int = 8 << 20) -> DataFrame:
     """Train on the rows whose crc32(doc_id) mod ``modulus`` is not ``rest`` and score all rows of ``doc_id``, ``text``.
 
-    The filter takes ``bits_per_entry`` bits for each inserted level at any size, so that the rate of false levels stays.
+    The filter takes ``bits_per_entry`` bits for each inserted level at any size, so that the rate of false levels stays. It has
+    a part of the hash range for every ``part_bytes`` of text, so that a task's share does not grow with the input.
     """
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "lm")
-    n_parts = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    read = scratch.keep(docs.select("doc_id", "text").mapInArrow(read_blocks(n_parts, modulus, rest), READ), "read", "kind")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_parts = 16 + int(size // part_bytes)
+    read = scratch.keep(docs.select("doc_id", "text").mapInArrow(read_blocks(n_parts, modulus, rest), READ), "read", by=("kind",))
     counted_parts = scratch.keep(read.where("kind > 0").groupBy("part").applyInArrow(count_part(hashes, bits_per_entry), COUNTED), "counted")
     scratch.drop("read/kind=1")
     scratch.drop("read/kind=2")

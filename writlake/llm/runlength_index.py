@@ -8,8 +8,10 @@ A byte is removed where a string of ``least`` bytes that covers it also starts e
 3. A block is a repetitive text: its suffixes are sorted, the Burrows-Wheeler transform is run-compressed, and the matching
    length of every suffix with its neighbour is streamed from the samples at the runs' ends (between them it falls by one a
    byte). Lengths of ``least`` or more mark bytes.
-4. Labels too large for one task (a passage of a third of all texts) are settled by 64-bit hashes of all their windows
-   instead, dealt out by hash, which no group's size makes uneven.
+4. A label too large for one block is dealt out by anchor instead; its blocks overlap by the text around each anchor, so
+   that all places of an anchor still meet. Only if the places of one anchor alone exceed ``label_bytes`` (more than 7,000 different texts
+   around one passage), which no block could hold at any size of input, their windows' 64-bit hashes settle them, dealt
+   out by hash, which no group's size makes uneven.
 
 Equal texts are one text with a count: where it is 2 or more, all strings in it occur elsewhere. Null texts are empty ones, and
 texts shorter than ``least`` stay whole. Rows may repeat and ids be null; other columns are ignored; an empty table gives an empty
@@ -80,11 +82,11 @@ def anchors(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-READ = "kind int, doc_id long, key long, n_bytes long, sha256 string, anchor long, place int, low long"
+READ = "kind int, doc_id long, key long, n_bytes long, sha256 string, anchor long, places array<int>, low long"
 
 
 def read_anchors(least: int):
-    """A row for each text (kind 0), and one for each anchor (1) of texts that this task has not seen before."""
+    """A row for each text (kind 0), and one for each anchor (1) of each text that this task has not seen before, with its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -93,20 +95,23 @@ def read_anchors(least: int):
             keys = batch.column("key").to_pylist()
             n = len(texts)
             none = lambda k: pa.nulls(n, k)
-            yield pa.record_batch({"kind": pa.array([0] * n, pa.int32()), "doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts]), "anchor": none(pa.int64()), "place": none(pa.int32()), "low": none(pa.int64())})
-            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            yield pa.record_batch({"kind": pa.array([0] * n, pa.int32()), "doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_bytes": pa.array(list(map(len, texts)), pa.int64()), "sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts]), "anchor": none(pa.int64()), "places": none(pa.list_(pa.int32())), "low": none(pa.int64())})
+            out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # key, anchors, how often, places by anchor
             for key, text in zip(keys, texts, strict=True):
                 if key not in seen:
                     seen.add(key)
                     at, h = anchors(text, least)
                     if len(at):
-                        out.append((key, at, h))
+                        order = np.argsort(h, kind="stable")
+                        h, times = np.unique(h, return_counts=True)
+                        out.append((key, h, times, at[order]))
             if out:
                 size = [len(x[1]) for x in out]
-                h = np.concatenate([x[2] for x in out]).view(np.int64)
-                low = np.repeat(np.array([x[2].min() for x in out], np.uint64).view(np.int64), size)
-                m = len(h)
-                yield pa.record_batch({"kind": pa.array(np.ones(m, np.int32)), "doc_id": pa.nulls(m, pa.int64()), "key": pa.array(np.repeat(np.array([x[0] for x in out], np.int64), size)), "n_bytes": pa.nulls(m, pa.int64()), "sha256": pa.nulls(m, pa.string()), "anchor": pa.array(h), "place": pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)), "low": pa.array(low)})
+                low = np.repeat(np.array([x[1][0] for x in out], np.uint64).view(np.int64), size)
+                ends = np.concatenate([[0], np.cumsum(np.concatenate([x[2] for x in out]))])
+                places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([x[3] for x in out]).astype(np.int32)))
+                m = len(low)
+                yield pa.record_batch({"kind": pa.array(np.ones(m, np.int32)), "doc_id": pa.nulls(m, pa.int64()), "key": pa.array(np.repeat(np.array([x[0] for x in out], np.int64), size)), "n_bytes": pa.nulls(m, pa.int64()), "sha256": pa.nulls(m, pa.string()), "anchor": pa.array(np.concatenate([x[1] for x in out]).view(np.int64)), "places": places, "low": pa.array(low)})
 
     return run
 
@@ -135,8 +140,8 @@ def cut_ranges(least: int, n_hot: int):
             hot: list[tuple[int, np.ndarray, np.ndarray]] = []
             for key, text, marks in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 data = (text or "").encode()
-                place = np.array([x["place"] for x in marks], np.int64)
-                block = np.array([x["block"] for x in marks], np.int64)
+                place = np.array([p for x in marks for p in x["places"]], np.int64)
+                block = np.repeat(np.array([x["block"] for x in marks], np.int64), [len(x["places"]) for x in marks])
                 order = np.lexsort((place, block))
                 place, block = place[order], block[order]
                 for b in np.unique(block).tolist():
@@ -310,39 +315,56 @@ def repeated_spans(docs: DataFrame, least: int, block_bytes: int, label_bytes: i
     """Texts (a row for each input row), distinct texts that hold repeated anchors, and marked spans by text key."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     read = scratch.keep(keyed.mapInArrow(read_anchors(least), READ), "read")
-    texts = read.where("kind = 0").select("doc_id", "key", "n_bytes", "sha256")
-    places = read.where("kind = 1").select("anchor", "key", "place", "low")
-    place = F.struct("key", "place")
-    shared = places.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("low").alias("label")).where("a != b").select("anchor", "label")
-    marks = scratch.keep(places.join(shared, "anchor").select("key", "place", "label").distinct(), "marks")
-    sizes = marks.groupBy("label", "key").agg((F.count("*") * 128 + 2 * least).alias("n")).groupBy("label").agg(F.sum("n").alias("n"))
-    sizes = scratch.keep(sizes, "sizes")
+    texts = scratch.keep(read.where("kind = 0").select("doc_id", "key", "n_bytes", "sha256"), "texts")
+    places = read.where("kind = 1").select("anchor", "key", "places", "low")
+    shared = places.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max(F.size("places")).alias("n"), F.min("low").alias("label")).where("a != b or n > 1").select("anchor", "label")
+    marks = scratch.keep(places.join(shared, "anchor").select("key", "anchor", "places", "label").dropDuplicates(["key", "anchor"]), "marks")
+    scratch.drop("read")
+    around = 2 * least - WINDOW
+
+    def bytes_of(group: str) -> DataFrame:
+        """Bytes of the ranges of each label or anchor, at most: the ranges of a text overlap."""
+        ends = F.min(F.element_at("places", 1)).alias("lo"), F.max(F.element_at("places", -1)).alias("hi"), F.sum(F.size("places")).alias("n")
+        return marks.groupBy(group, "key").agg(*ends).withColumn("n", F.least(F.col("n") * around, F.col("hi") - F.col("lo") + around)).groupBy(group).agg(F.sum("n").alias("n"))
+
+    sizes = scratch.keep(bytes_of("label"), "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, int(total // block_bytes) + 1)
-    dealt = sizes.select("label", F.when(F.col("n") > label_bytes, -1).otherwise(F.expr(f"pmod(xxhash64(label), {blocks})")).cast("int").alias("block"))
-    marked = marks.join(dealt, "label").groupBy("key").agg(F.collect_list(F.struct("place", "block")).alias("marks"))  # the anchors of one text
+    block = lambda name: F.expr(f"pmod(xxhash64({name}), {blocks})").cast("int").alias("block")
+    small = marks.join(sizes.where(F.col("n") <= label_bytes).select("label", block("label")), "label").select("key", "places", "block")
+    large = marks.join(sizes.where(F.col("n") > label_bytes).select("label"), "label", "left_semi")
+    dealt = bytes_of("anchor").join(large.select("anchor").distinct(), "anchor", "left_semi").select("anchor", F.when(F.col("n") > label_bytes, -1).otherwise(block("anchor")).alias("block"))
+    marked = small.unionByName(large.join(dealt, "anchor").select("key", "places", "block")).groupBy("key").agg(F.collect_list(F.struct("places", "block")).alias("marks"))  # the anchors of one text
     held = scratch.keep(keyed.select("key", "text").join(marked, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("marks").alias("marks")), "held")
+    scratch.drop("marks")
     hot = max(8, int(total // (64 * block_bytes)))
     cut = scratch.keep(held.mapInArrow(cut_ranges(least, hot), RANGES), "cut")
     cold = cut.where("kind = 0").groupBy("block").applyInArrow(index_block(least), SPANS)
     counted = cut.where("kind = 2").groupBy("block").applyInArrow(count_hot, RANGES)
     warm = cut.where("kind = 1").unionByName(counted).groupBy("chunk").applyInArrow(mark_hot(least), SPANS)
-    return texts, held.select("key", "text"), scratch.keep(cold.unionByName(warm), "spans")
+    spans = scratch.keep(cold.unionByName(warm), "spans", blocks + hot)
+    scratch.drop("cut")
+    return texts, held.select("key", "text"), spans
 
 
 CLEANED = "key long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary"
 
 
+def kept_pieces(data: bytes, marks: list[dict]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Maximal marked runs of a text, and what is left between them."""
+    pairs = np.array(sorted((x["start"], x["end"]) for x in marks), np.int64).reshape(-1, 2)
+    a, z = union(pairs[:, 0], pairs[:, 1])
+    edges = [0, *np.stack([a, z], 1).reshape(-1).tolist(), len(data)]
+    return a, z, [data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)]
+
+
 def clean_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their marks: merged spans and what is left."""
     for batch in slices(batches):
         out = []
         for text, marks in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            data = text.encode()
-            pairs = np.array(sorted((x["start"], x["end"]) for x in marks), np.int64).reshape(-1, 2)
-            a, z = union(pairs[:, 0], pairs[:, 1])
-            edges = [0, *np.stack([a, z], 1).reshape(-1).tolist(), len(data)]
-            kept = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
+            a, z, pieces = kept_pieces(text.encode(), marks)
+            kept = b"".join(pieces)
             out.append((int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in zip(a.tolist(), z.tolist(), strict=True)], kept))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary())
         names = ("n_removed", "n_spans", "kept_sha256", "spans", "kept")
@@ -383,8 +405,11 @@ def remove_repeats(docs: DataFrame, least: int = 400, block_bytes: int = 1_500_0
     lists = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in clean_texts(batches):
-            kept = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
+        for batch in slices(batches):
+            kept = []
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                pieces = kept_pieces(text.encode(), marks)[2]
+                kept.append("".join(x.decode("utf-8", "ignore") for x in pieces))  # each by itself: no character of two halves
             yield pa.record_batch({"__key": batch.column("key"), "__kept": pa.array(kept, pa.string())})
 
     cleaned = held.join(lists, "key").mapInArrow(whole_characters, "__key long, __kept string")
