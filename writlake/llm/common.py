@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: Long texts must not come to a worker by ten thousand at a time.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: ASCII white space of the word rule: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,6 +32,8 @@ def prepare(spark: SparkSession) -> str:
     The folder is ``spark.checkpoint.dir``; only where that is unset and all runs on this machine a local one is made.
     """
     env = spark.sparkContext.environment
+    if spark.conf.get(BATCH_BYTES, None) is None:  # Spark's own bound is more than a worker's share of memory
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -252,8 +252,8 @@ def similar_classes(docs: DataFrame, words: int, num: int, den: int, scratch: Sc
         wanted = keyed.select("text", "text_key").join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
         return scratch.keep(wanted.select("text").mapInArrow(set_rows(words), "cls long, grams binary"), name, many // 1000 + 1)
 
-    comps = spark.createDataFrame([], "node long, comp long")
-    links = spark.createDataFrame([], "a long, b long")
+    comps = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("comp"))
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     last = False
     for i in range(rounds + 1):
         last = last or i == rounds
