@@ -97,7 +97,7 @@ def test_merge_is_ordered(spark):
     b = ("سامي محمود حسن علي", "98765432101", None, "Individual", 0.75, False, "ner", "nearby_ner_person")
     c = ("سامي محمود حسن علي كامل احمد ناصر", "98765432101", None, "Individual", 0.75, False, "ner", "nearby_ner_person")
     got = records(spark, [a, b, c]).select(R.dedupe_merge("r").alias("m")).first().m
-    assert [(x.full_name, x.source) for x in got] == [(c[0], "rules+ner")]  # the merged record no longer counts as a rule's
+    assert [(x.full_name, x.source) for x in got] == [(c[0], "ner")]  # a and b merge to "rules+ner", which no longer counts as a rule's record (trap T18): c wins and keeps its source
     alone = ("سامي محمود", None, "REG-1", "Individual", 0.5, True, "rules", None)
     got = records(spark, [a, alone]).select(R.dedupe_merge("r").alias("m")).first().m
     assert [(x.full_name, x.registration_number, x.source) for x in got] == [("سامي محمود", "REG-1", "rules")]

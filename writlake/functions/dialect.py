@@ -92,6 +92,26 @@ class Dialect:
         name = f"t{next(_names)}"
         return self.at(self.map(self.items(x), name, body(name)), "1")
 
+    def map_with(self, x: str, name: str, index: str, body: str) -> str:
+        """Elements with their places from 1."""
+        return f"transform({x}, ({name}, {index}0) -> {self.bind(f'{index}0 + 1', index, body)})" if self.spark else f"list_transform({x}, lambda {name}, {index}: {body})"
+
+    def bind(self, x: str, name: str, body: str) -> str:
+        return self.at(self.map(self.items(x), name, body), "1")
+
+    def fold(self, x: str, start: str, acc: str, item: str, body: str) -> str:
+        """An ordered fold over an array, whose state is an array of the elements' kind."""
+        if self.spark:
+            return f"aggregate({x}, {start}, ({acc}, {item}) -> {body})"
+        return f"list_reduce(list_transform({x}, lambda {item}0: [{item}0]), lambda {acc}, {item}1: {self.bind(f'{item}1[1]', item, body)}, {start})"
+
+    def place(self, x: str, phrase: str) -> str:
+        """The first place of a phrase in a text from 1, 0 without one."""
+        return f"{'instr' if self.spark else 'strpos'}({x}, {phrase})"
+
+    def integer(self, x: str) -> str:
+        return f"cast({x} as int)"
+
     def first_place(self, x: str, name: str, test: str) -> str:
         """The first place from 1 whose element passes, 0 without one."""
         return f"array_position({self.map(x, name, f'coalesce({test}, false)')}, true)" if self.spark else f"coalesce(list_position({self.map(x, name, f'coalesce({test}, false)')}, true), 0)"

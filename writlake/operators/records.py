@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 RECORD = "struct<full_name:string,national_id:string,registration_number:string,person_type:string,confidence:double,needs_review:boolean,source:string,extraction_method:string>"
 _NAME = r"regexp_replace(trim(coalesce({0}.full_name, '')), '\\s+', ' ')"
 _WORDS = "if(coalesce({0}.full_name, '') = '', 0, size(split(" + _NAME + ", ' ')))"
-_SCORE = "(if({0}.national_id is not null, 10, 0) + if({0}.source = 'rules', 8, 0) + if({0}.extraction_method = 'direct_legal_phrase', 4, 0) + " + _WORDS + " + if({0}.needs_review, 0, 2))"
+_SCORE = "(if(coalesce({0}.national_id, '') <> '', 10, 0) + if({0}.source = 'rules', 8, 0) + if({0}.extraction_method = 'direct_legal_phrase', 4, 0) + " + _WORDS + " + if({0}.needs_review, 0, 2))"
 
 
 def _replace(array: str, place: str, value: str) -> str:
@@ -26,7 +26,7 @@ def _merged(a: str, b: str) -> str:
     """Two records of one person: the better one, filled from the other."""
     best, other = f"if({_SCORE.format(b)} > {_SCORE.format(a)}, {b}, {a})", f"if({_SCORE.format(b)} > {_SCORE.format(a)}, {a}, {b})"
     return (
-        f"transform(array(named_struct('x', {best}, 'y', {other})), z -> named_struct('full_name', z.x.full_name, 'national_id', coalesce(z.x.national_id, z.y.national_id), 'registration_number', coalesce(z.x.registration_number, z.y.registration_number), "
+        f"transform(array(named_struct('x', {best}, 'y', {other})), z -> named_struct('full_name', z.x.full_name, 'national_id', if(coalesce(z.x.national_id, '') <> '', z.x.national_id, z.y.national_id), 'registration_number', if(coalesce(z.x.registration_number, '') <> '', z.x.registration_number, z.y.registration_number), "
         f"'person_type', z.x.person_type, 'confidence', z.x.confidence, 'needs_review', if(z.x.national_id is not null and {_WORDS.format('z.x')} >= 3, false, z.x.needs_review), "
         f"'source', if(z.x.source <> z.y.source and 'rules' in (z.x.source, z.y.source), 'rules+ner', z.x.source), 'extraction_method', coalesce(z.x.extraction_method, z.y.extraction_method)))[0]"
     )
@@ -37,9 +37,9 @@ def dedupe_merge(records: str) -> Column:
     def fold(some: str, start: str, place: str) -> str:
         return f"aggregate({some}, {start}, (acc, r) -> transform(array({place}), p -> if(p < 0, concat(acc, array(r)), transform(acc, (e, i) -> if(i = p, {_merged('e', 'r')}, e))))[0])"
 
-    by_id = fold(f"filter({records}, r -> r.national_id is not null)", f"cast(array() as array<{RECORD}>)", "array_position(transform(acc, e -> e.national_id), r.national_id) - 1")
+    by_id = fold(f"filter({records}, r -> coalesce(r.national_id, '') <> '')", f"cast(array() as array<{RECORD}>)", "array_position(transform(acc, e -> e.national_id), r.national_id) - 1")
     alike = f"coalesce({_NAME.format('e')} <> '' and {_NAME.format('r')} <> '' and (contains({_NAME.format('e')}, {_NAME.format('r')}) or contains({_NAME.format('r')}, {_NAME.format('e')})), false)"
-    return F.expr(fold(f"filter({records}, r -> r.national_id is null)", by_id, f"array_position(transform(acc, e -> {alike}), true) - 1"))
+    return F.expr(fold(f"filter({records}, r -> coalesce(r.national_id, '') = '')", by_id, f"array_position(transform(acc, e -> {alike}), true) - 1"))
 
 
 def dedupe_merge_sql(records: str, key: str) -> str:
@@ -47,9 +47,9 @@ def dedupe_merge_sql(records: str, key: str) -> str:
     names = [f.split(":")[0] for f in RECORD[7:-1].split(",")]
     name = "regexp_replace(trim(coalesce({0}.full_name, '')), '\\s+', ' ', 'g')"
     words = "case when coalesce({0}.full_name, '') = '' then 0 else len(string_split(" + name + ", ' ')) end"
-    score = "(case when {0}.national_id is not null then 10 else 0 end + case when {0}.source = 'rules' then 8 else 0 end + case when {0}.extraction_method = 'direct_legal_phrase' then 4 else 0 end + " + words + " + case when {0}.needs_review then 0 else 2 end)"
+    score = "(case when coalesce({0}.national_id, '') <> '' then 10 else 0 end + case when {0}.source = 'rules' then 8 else 0 end + case when {0}.extraction_method = 'direct_legal_phrase' then 4 else 0 end + " + words + " + case when {0}.needs_review then 0 else 2 end)"
     wins = f"{score.format('r[1]')} > {score.format('e')}"
-    filled = {n: f"z.x.{n}" for n in names} | {n: f"coalesce(z.x.{n}, z.y.{n})" for n in ("national_id", "registration_number", "extraction_method")}
+    filled = {n: f"z.x.{n}" for n in names} | {n: f"case when coalesce(z.x.{n}, '') <> '' then z.x.{n} else z.y.{n} end" for n in ("national_id", "registration_number")} | {"extraction_method": "coalesce(z.x.extraction_method, z.y.extraction_method)"}
     filled["needs_review"] = f"case when z.x.national_id is not null and {words.format('z.x')} >= 3 then false else z.x.needs_review end"
     filled["source"] = "case when z.x.source <> z.y.source and 'rules' in (z.x.source, z.y.source) then 'rules+ner' else z.x.source end"
     both = f"[{{'x': case when {wins} then r[1] else e end, 'y': case when {wins} then e else r[1] end}}]"
@@ -60,8 +60,8 @@ def dedupe_merge_sql(records: str, key: str) -> str:
         step = f"list_transform([coalesce({place}, 0)], lambda p: case when p = 0 then list_concat(acc, r) else list_transform(acc, lambda e, i: case when i = p then {merged} else e end) end)[1]"
         return f"list_reduce(list_transform(list_filter(records, lambda v: {test}), lambda v: [v]), lambda acc, r: {step}, {start})"
 
-    by_id = fold("v.national_id is not null", "list_slice(records, 1, 0)", "list_position(list_transform(acc, lambda e: e.national_id), r[1].national_id)")
-    persons = fold("v.national_id is null", by_id, f"list_position(list_transform(acc, lambda e: {alike}), true)")
+    by_id = fold("coalesce(v.national_id, '') <> ''", "list_slice(records, 1, 0)", "list_position(list_transform(acc, lambda e: e.national_id), r[1].national_id)")
+    persons = fold("coalesce(v.national_id, '') = ''", by_id, f"list_position(list_transform(acc, lambda e: {alike}), true)")
     order = ", ".join(["rank", *(f"{n} nulls first" for n in names)])
     grouped = f"select {key}, list({{{', '.join(f"'{n}': {n}" for n in names)}}} order by {order}) as records from ({records}) group by {key}"
     return f"select {key}, {persons} as persons from ({grouped})"

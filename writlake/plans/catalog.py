@@ -13,6 +13,7 @@ from writlake.functions import lexicons as L
 from writlake.operators import documents as D
 from writlake.operators import persons as P
 from writlake.operators import records as R
+from writlake.operators import targets as T
 from writlake.plans import corpus
 from writlake.plans.flow import Flow
 
@@ -71,8 +72,8 @@ def direct() -> Flow:
 
 
 def keyword_lines() -> Flow:
-    out = clean().explode("line", lambda d: P.candidate_lines(d, clean_lines(d, "text"))).add(p=lambda d: P.keyword_line(d, "line"))
-    return out.where(lambda d: "p is not null")
+    out = clean().explode("line", lambda d: P.candidate_lines(d, clean_lines(d, "text")))
+    return out.add_some("p", lambda d: P.keyword_line(d, "line"))
 
 
 def person_columns(flow: Flow, p: str = "p") -> Flow:
@@ -114,8 +115,7 @@ def exact(flow: Flow) -> Flow:
 
 def extracted_persons() -> Flow:
     """The extractor's persons, a row each, numbered in their order."""
-    flow = Flow(merged_persons, R.dedupe_merge_sql(person_records().duckdb, KEY))
-    out = flow.places("record_index", lambda d: "persons").add(p=lambda d: d.at("persons", "record_index"))
+    out = with_persons(clean(), "text").add(output=lambda d: T.dedupe_output(d, "persons")).places("record_index", lambda d: "output").add(p=lambda d: d.at("output", "record_index"))
     return out.select(KEY, "record_index", a_name=lambda d: "p.full_name", a_id=lambda d: "p.national_id", a_reg=lambda d: "p.registration_number", a_type=lambda d: "p.person_type")
 
 
@@ -174,6 +174,55 @@ def person_results() -> Flow:
     )
 
 
+def target_pages() -> Flow:
+    """Pages with a list of target persons, normalized."""
+    return raw().select(KEY, "k", "header_text", "full_page_text", "list_text", text=lambda d: E.normalize(d, "list_text"))
+
+
+def target_records(rule) -> Flow:
+    return record_rows(target_pages().explode("r", lambda d: rule(d, "text")))
+
+
+def record_rows(flow: Flow) -> Flow:
+    return flow.select(KEY, **{n: (lambda d, n=n: f"r.{n}") for n in T.RECORD})
+
+
+def with_persons(flow: Flow, text: str, out: str = "persons") -> Flow:
+    """A column of the persons in a text: all rules in their order of trust, each leaving out what an earlier one found, deduped before and after orphans are given back.
+
+    Each step is a column, so that no step is computed twice.
+    """
+    c = lambda x: f"{out}_{x}"
+    rules = {"listed": T.listed, "phrase": T.phrase_records, "line": T.line_records, "context": T.context_records, "weak": T.emergency_records, "orphans": T.orphan_names}
+    flow = flow.add(**{c(n): (lambda d, f=f: f(d, text)) for n, f in rules.items()})
+    flow = flow.add(**{
+        c("line2"): lambda d: T.without(d, T.without(d, c("line"), c("listed"), "national_id"), c("listed"), "registration_number"),
+        c("context2"): lambda d: T.without(d, T.without(d, c("context"), c("listed"), "national_id"), c("phrase"), "national_id"),
+    })
+    flow = flow.add(**{c("strong"): lambda d: d.concat_arrays(c("listed"), c("phrase"), c("line2"), c("context2"))})
+    flow = flow.add(**{c("all"): lambda d: d.concat_arrays(c("strong"), T.without(d, c("weak"), c("strong"), "national_id"))})
+    flow = flow.add(**{c("first"): lambda d: T.dedupe(d, c("all"))})
+    flow = flow.add(**{c("named"): lambda d: T.recover_orphans(d, c("first"), c("orphans"))})
+    return flow.add(**{out: lambda d: T.dedupe(d, c("named"))})
+
+
+def with_fallbacks(flow: Flow, cleaned: str, full_page: str, combined: str) -> Flow:
+    """The column ``persons``: of the cleaned text, only if it has none of the full page, and then of all text in one line; ``attempt`` says which (0: none)."""
+    some = lambda d, x: f"{d.size(x)} > 0"
+    flow = with_persons(flow, cleaned, "one")
+    flow = with_persons(flow.add(text2=lambda d: f"case when {some(d, 'one')} then '' else {E.normalize(d, full_page)} end"), "text2", "two")
+    line = lambda d: E.normalize(d, d.replace(f"coalesce({combined}, '')", r"[\r\n]+", " "))
+    flow = with_persons(flow.add(text3=lambda d: f"case when {some(d, 'one')} or {some(d, 'two')} then '' else {line(d)} end"), "text3", "three")
+    pick = lambda d, x, y, z, none: f"case when {some(d, 'one')} then {x} when {some(d, 'two')} then {y} when {some(d, 'three')} then {z} else {none} end"
+    return flow.add(persons=lambda d: pick(d, "one", "two", "three", "three"), attempt=lambda d: pick(d, "1", "2", "3", "0"))
+
+
+def fallback_pages() -> Flow:
+    """Pages whose cleaned text is empty or holds nobody, and pages whose persons are found only in one line."""
+    pages = target_pages().add(cleaned=lambda d: "case when k % 5 = 0 then '' when k % 5 = 1 then 'لا شيء' else text end", page=lambda d: "case when k % 5 = 1 then null else full_page_text end", combined=lambda d: "concat(header_text, chr(10), list_text)")
+    return with_fallbacks(pages, "cleaned", "page", "combined")
+
+
 def attempts() -> Flow:
     """Two engines' attempts on every page, from the orders: engine, status, confidence, score."""
     page = Flow.table("orders", "o_orderkey", "o_custkey", "o_totalprice").select(document_id=lambda d: "o_custkey", page_number=lambda d: "o_orderkey", score=lambda d: "cast(o_orderkey % 97 as double) / 96", other=lambda d: "cast(o_custkey % 89 as double) / 88")
@@ -230,7 +279,7 @@ def flows() -> dict[str, Flow]:
         "recipient_lines": clean().explode("line", lambda d: "lines").where(lambda d: E.is_recipient(d, "line")).select(KEY, "line"),
         "section_ends": clean().explode("line", lambda d: "lines").where(lambda d: E.any_phrase(d, "line", L.SECTION_ENDS)).select(KEY, "line"),
         "candidate_lines": clean().explode("line", lambda d: P.candidate_lines(d, clean_lines(d, "text"))).select(KEY, "line"),
-        "registration_numbers": clean().explode("line", lambda d: "lines").add(value=lambda d: E.registration(d, "line")).where(lambda d: "value is not null").select(KEY, "value"),
+        "registration_numbers": clean().explode("line", lambda d: "lines").add_some("value", lambda d: E.registration(d, "line")).select(KEY, "value"),
         "case_number_extract": clean().add(f=lambda d: D.case_number(d, "lines")).select(KEY, value=lambda d: "f.value", way=lambda d: "f.way"),
         "document_number_extract": clean().select(KEY, value=lambda d: D.document_number(d, "lines")),
         "document_date_extract": clean().add(f=lambda d: D.document_date(d, "header", "text")).select(KEY, value=lambda d: "f.value", confidence=lambda d: "f.confidence"),
@@ -244,6 +293,13 @@ def flows() -> dict[str, Flow]:
         "validate_persons": p(keyed.add(v=lambda d: P.validate(d, "p")), "v"),
         "person_type_counts": keyed.select(person_type=lambda d: "p.person_type", review=lambda d: "p.needs_review").group("person_type", n=lambda d: "count(*)", to_review=lambda d: "cast(sum(case when review then 1 else 0 end) as bigint)"),
         "record_score": keyed.select(KEY, score=lambda d: P.merge_score(d, "p.full_name", "p.national_id", "'rules'", "'keyword_line'", "p.needs_review")),
+        "target_section": target_pages().select(KEY, value=lambda d: T.target_section(d, "text")), "structured_persons": target_records(T.listed),
+        "id_context_persons": target_records(T.context_records), "emergency_persons": target_records(T.emergency_records),
+        "orphan_first_names": target_pages().explode("name", lambda d: T.orphan_names(d, "text")).select(KEY, "name"),
+        "person_candidates": record_rows(with_persons(target_pages(), "text").explode("r", lambda d: "persons")),
+        "persons_with_fallbacks": record_rows(fallback_pages().explode("r", lambda d: "persons")), "fallback_attempts": fallback_pages().select("attempt").group("attempt", n=lambda d: "count(*)"),
+        "dedupe_pipeline": record_rows(made_records().explode("r", lambda d: T.dedupe_output(d, "records"))), "dedupe_extractor": record_rows(made_records().explode("r", lambda d: T.dedupe(d, "records"))),
+        "dedupe_merge": dedupe_merge(), "export_json": export_json(), "full_pipeline": full_pipeline(),
         "split_grouped_names": raw().explode("full_name", lambda d: P.split_group(d, "case when k % 3 = 0 then concat('خالد و سامي ابن ', name1) else name1 end")).select(KEY, "full_name"),
         "ner_nearby_id": entities().select(KEY, national_id=lambda d: P.nearby_id(d, "text", "start_char", "end_char")),
         "paired_documents": header_fields().select(KEY).join(reviewed().select(KEY), KEY), "unreviewed_documents": raw().select(KEY).join(reviewed().select(KEY), KEY, how="left_anti"),
@@ -267,21 +323,26 @@ def exported(keyed: Flow) -> Flow:
     return fields.join(persons, KEY, how="left").select(*L.EXPORT_COLUMNS)
 
 
-def records_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_records() -> Flow:
     """Records of every order: rule records and recognised ones, some of one person, some with names that hold each other."""
-    rows = raw().spark(spark, sf_dir)
-    record = lambda name, i, source, method, review: f"named_struct('full_name', {name}, 'national_id', {i}, 'registration_number', cast(null as string), 'person_type', 'Individual', 'confidence', cast(0.9 as double), 'needs_review', {review}, 'source', {source}, 'extraction_method', {method})"
-    none = "cast(null as string)"
-    items = [record("name1", "id1", "'rules'", "'keyword_line'", "false"), record("concat(name1, ' ', 'الاردني')", "if(k % 2 = 0, id1, id2)", "'ner'", "'nearby_ner_person'", "false"), record("substring_index(name1, ' ', 2)", none, "'ner'", none, "true"), record("name2", "id2", "'rules'", "'direct_legal_phrase'", "false"), record("name2", none, "'rules'", "'keyword_line'", "true")]
-    return rows.selectExpr(KEY, f"cast(array({', '.join(items)}) as array<{R.RECORD}>) as records")
-
+    def items(d: Dialect) -> str:
+        none = P.null(d)
+        second = f"case when k % 2 = 0 then id1 when k % 7 = 3 then '' else id2 end"  # noqa: F541
+        short = "array_join(slice(split(name1, ' '), 1, 2), ' ')" if d.spark else "array_to_string(list_slice(string_split(name1, ' '), 1, 2), ' ')"
+        rows = (
+            ("name1", "id1", "'rules'", "'keyword_line'", "false"), ("concat(name1, ' ', 'الاردني')", second, "'ner'", "'nearby_ner_person'", "false"), (short, none, "'ner'", none, "true"),
+            ("name2", "id2", "'rules'", "'direct_legal_phrase'", "false"), ("name2", none, "'rules'", "'keyword_line'", "true"),
+        )
+        return d.items(*(d.struct(full_name=n, national_id=i, registration_number=none, person_type="'Individual'", confidence="cast(0.9 as double)", needs_review=r, source=f"{s}", extraction_method=m) for n, i, s, m, r in rows))
 
-def dedupe_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_of(spark, sf_dir).select(KEY, F.explode(R.dedupe_for_output("records")).alias("r")).select(KEY, "r.*")
+    return raw().select(KEY, records=items)
 
 
-def dedupe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_of(spark, sf_dir).select(KEY, F.explode(R.dedupe_merge("records")).alias("r")).select(KEY, "r.*")
+def dedupe_merge() -> Flow:
+    """The merge of rule records with recognised ones; its SQL is folds of its own."""
+    rows = made_records().places("rank", lambda d: "records").add(r=lambda d: d.at("records", "rank")).select(KEY, "rank", **{n: (lambda d, n=n: f"r.{n}") for n in T.RECORD})
+    merged = Flow(lambda s, d: made_records().spark(s, d).select(KEY, R.dedupe_merge(f"cast(records as array<{R.RECORD}>)").alias("persons")), R.dedupe_merge_sql(rows.duckdb, KEY))
+    return record_rows(merged.explode("r", lambda d: "persons"))
 
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,36 +352,24 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("document_id", F.array_join(R.reading_order("transform(b, v -> v.box)"), " ").alias("text"))
 
 
-def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(validated()).spark(spark, sf_dir).select(KEY, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
-
-
-def person_records() -> Flow:
-    """The records of both rules, direct phrases (rank 0) before keyword lines."""
-    line = person_columns(keyword_lines().add(v=lambda d: P.validate(d, "p")), "v").add(source=lambda d: "'rules'", extraction_method=lambda d: "'keyword_line'", rank=lambda d: "1")
-    phrase = direct().select(
-        KEY, "full_name", "national_id", registration_number=P.null, person_type=lambda d: "'Individual'", confidence=lambda d: "cast(0.9 as double)", needs_review=lambda d: "false",
-        source=lambda d: "'rules'", extraction_method=lambda d: "'direct_legal_phrase'", rank=lambda d: "0",
-    )
-    return phrase.union(line)
-
-
-def merged_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged persons of every document that has one."""
-    names = [f.split(":")[0] for f in R.RECORD[7:-1].split(",")]
-    grouped = person_records().spark(spark, sf_dir).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("rank", F.struct(*names).alias("r")))).alias("rs"))  # one document's records
-    return grouped.selectExpr(KEY, f"cast(transform(rs, x -> x.r) as array<{R.RECORD}>) as records").select(KEY, R.dedupe_merge("records").alias("persons"))
+def export_json() -> Flow:
+    """The fields of every document as one JSON text, with its nulls."""
+    fields = flat(validated())
+    names = [KEY, *(f"{n}{x}" for n in FIELDS for x in ("", "_confidence", "_review"))]
+    return fields.select(KEY, json=lambda d: "to_json(struct(*), map('ignoreNullFields', 'false'))" if d.spark else "cast(to_json({" + ", ".join(f"'{n}': {n}" for n in names) + "}) as varchar)")
 
 
-def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: validated fields and validated, merged persons of every document, as one plan."""
-    fields = validated().select(KEY, **{n: (lambda d, n=n: f"{n}") for n in FIELDS}).spark(spark, sf_dir)
-    return fields.join(merged_persons(spark, sf_dir), KEY, "left")
+def full_pipeline() -> Flow:
+    """The flagship: validated fields, and validated persons of all rules and texts, of every document; one pass, no shuffle."""
+    out = with_fallbacks(header_fields(), "text", "full_page_text", "concat(header_text, chr(10), full_page_text)")
+    out = out.add(output=lambda d: T.dedupe_output(d, "persons")).add(checked=lambda d: T.validated(d, "output"), **{f"v_{n}": (lambda d, n=n: D.validate_field(d, n, n)) for n in FIELDS})
+    columns = {f"{n}{'' if x == 'value' else '_' + x}": (lambda d, n=n, x=x: f"v_{n}.{x}") for n in FIELDS for x in ("value", "confidence", "needs_review")}
+    json = lambda d: "to_json(checked, map('ignoreNullFields', 'false'))" if d.spark else "cast(to_json(checked) as varchar)"
+    return out.select(KEY, "attempt", **columns, n_persons=lambda d: d.integer(d.size("checked")), persons=json)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (dedupe_pipeline, dedupe_merge, reading_order, export_json, full_pipeline)
-    return {name: flow.spark for name, flow in flows().items()} | {f.__name__: f for f in own}
+    return {name: flow.spark for name, flow in flows().items()} | {"reading_order": reading_order}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,7 @@ def number(d: Dialect, x: str) -> str:
 
 
 def documents() -> Flow:
-    """document_id, truth columns, header_text and full_page_text."""
+    """document_id, truth columns, header_text, full_page_text and list_text (a page of another kind)."""
     base = Flow.table("orders", "o_orderkey", "o_custkey", "o_orderdate").add(
         document_id=lambda d: "o_orderkey", k=lambda d: "o_orderkey", c=lambda d: "o_custkey",
         court=lambda d: pick(d, L.COURTS, "o_custkey"), year=lambda d: number(d, "year(o_orderdate)"),
@@ -52,10 +52,16 @@ def documents() -> Flow:
     base = base.add(header=lambda d: "concat(court, chr(10), 'رقم القضية : ', case_no, chr(10), 'رقم الكتاب : ', book_no, chr(10), case when damage = 8 then 'التاربخ' else 'التاريخ' end, ' : ', shown)")
     base = base.add(body=lambda d: "concat('إلى السادة مديرية الأراضي', chr(10), 'قررت المحكمة الحجز على اموال المستدعى ضده ', name1, ' الرقم الوطني ', id1, chr(10), 'المدين : ', name2, ' ورقم وطني (', id2, ')', chr(10), company, ' رقم التسجيل : ', reg, chr(10), 'وتفضلوا بقبول الاحترام')")
 
+    # A page with a list of target persons, in the order its reader gives: label first, number first, a number twice, a lone first name, a number far from its label.
+    base = base.add(listing=lambda d: "concat('يرجى تزويدنا بالمعلومات المتوفرة', chr(10), 'الاشخاص / الجهات المطلوبة :', chr(10), "
+        "case k % 6 when 1 then concat('الرقم الوطني ', id1, ' ', name1, chr(10)) when 2 then concat('- ', substring_index_(name1), ' الرقم الوطني : ', id1, ' نوع الشخص : فرد', chr(10), 'سامي', chr(10)) "
+        "when 3 then concat('- ', name1, ' الرقم الوطني : ', id1, chr(10), '- ', name2, ' الرقم الوطني : ', id1, chr(10)) else concat('- ', name1, ' | الرقم الوطني : ', id1, ' | نوع الشخص : فرد', chr(10)) end, "
+        "'- ', company, ' | رقم التسجيل : ', reg, ' | نوع الشخص : شركة', chr(10), 'وتفضلوا بقبول الاحترام', chr(10), case when k % 4 = 1 then concat(name2, chr(10), 'هاتف ', id2) else concat('(', id2, ') ', name2) end)".replace("substring_index_(name1)", "array_join(slice(split(name1, ' '), 1, 3), ' ')" if d.spark else "array_to_string(list_slice(string_split(name1, ' '), 1, 3), ' ')"))
+
     def damaged(column: str):
         return lambda d: (
             f"case damage when 1 then {d.translate(column, L.ASCII_DIGITS, L.ARABIC_DIGITS)} when 2 then replace({column}, '/', ' / ') when 3 then replace({column}, ' : ', ' | ') "
             f"when 4 then concat('~', replace({column}, ' ', '  '), '_ ^') when 5 then replace({column}, 'ا', 'أ') else {column} end"
         )
 
-    return base.select("document_id", "k", "c", "court", "case_no", "book_no", "day", "name1", "id1", "name2", "id2", "company", "reg", "damage", header_text=damaged("header"), full_page_text=damaged("body"))
+    return base.select("document_id", "k", "c", "court", "case_no", "book_no", "day", "name1", "id1", "name2", "id2", "company", "reg", "damage", header_text=damaged("header"), full_page_text=damaged("body"), list_text=damaged("listing"))

@@ -13,6 +13,12 @@ from writlake.functions.dialect import DUCKDB, SPARK, Dialect
 Expr = Callable[[Dialect], str]
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table whose scan has fewer tasks than there are cores (so a small one), dealt out to all of them; others stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table._jdf.queryExecution().toRdd().getNumPartitions() >= cores else table.repartition(cores)
+
+
 @dataclass(frozen=True)
 class Flow:
     """Steps on a table; expressions are functions of a dialect."""
@@ -22,7 +28,7 @@ class Flow:
 
     @staticmethod
     def table(name: str, *columns: str) -> Flow:
-        return Flow(lambda s, d: s.read.parquet(f"{d}/{name}.parquet").select(*columns), f"select {', '.join(columns)} from {name}")
+        return Flow(lambda s, d: spread(s.read.parquet(f"{d}/{name}.parquet").select(*columns)), f"select {', '.join(columns)} from {name}")
 
     def _sql(self, head: str, tail: str = "") -> str:
         return f"{head} from ({self.duckdb}) {tail}".rstrip()
@@ -40,12 +46,20 @@ class Flow:
 
     def places(self, name: str, array: Expr) -> Flow:
         """A row for each place of an array, from 1."""
-        one = array(SPARK)
-        more = lambda s, d: self.spark(s, d).where(f"size({one}) > 0").selectExpr("*", f"explode(sequence(1, size({one}))) as {name}")
+        # Outer, and then without the nulls: else Spark infers a filter from the array and computes all behind it once more.
+        one = f"explode_outer(transform({array(SPARK)}, (v, i) -> i + 1)) as {name}"
+        more = lambda s, d: self.spark(s, d).selectExpr("*", one).where(f"{name} is not null")
         return replace(self, spark=more, duckdb=self._sql(f"select *, unnest(range(1, len({array(DUCKDB)}) + 1))::int as {name}"))
 
     def explode(self, name: str, array: Expr) -> Flow:
-        return replace(self, spark=lambda s, d: self.spark(s, d).selectExpr("*", f"explode({array(SPARK)}) as {name}"), duckdb=self._sql(f"select *, unnest({array(DUCKDB)}) as {name}"))
+        """A row for each element of an array that holds no nulls."""
+        one = f"explode_outer({array(SPARK)}) as {name}"
+        more = lambda s, d: self.spark(s, d).selectExpr("*", one).where(f"{name} is not null")
+        return replace(self, spark=more, duckdb=self._sql(f"select *, unnest({array(DUCKDB)}) as {name}"))
+
+    def add_some(self, name: str, value: Expr) -> Flow:
+        """The column, and only the rows that have it; it is computed once."""
+        return self.explode(name, lambda d: d.filter(d.items(value(d)), "v", "v is not null"))
 
     def group(self, *keys: str, **columns: Expr) -> Flow:
         spark_columns = {n: f(SPARK) for n, f in columns.items()}
