@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import re
 import tempfile
@@ -33,7 +35,7 @@ def prepare(spark: SparkSession) -> str:
     """
     env = spark.sparkContext.environment
     if spark.conf.get(BATCH_BYTES, None) is None:  # Spark's own bound is more than a worker's share of memory
-        spark.conf.set(BATCH_BYTES, str(8 << 20))
+        spark.conf.set(BATCH_BYTES, str(2 << 20))
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -134,16 +136,36 @@ def undelta(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a piece holds about ``most`` bytes of the column, one row at least."""
+    """Cut and join record batches so that a piece holds about ``most`` bytes of the column, one row at least."""
+    held, size = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             floor = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, floor + most, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+            own = int(ends[stop - 1] - floor)
+            if held and size + own > most:
+                yield joined()
+                held, size = [], 0
+            held.append(batch.slice(start, stop - start))
+            size, start = size + own, stop
+    if held:
+        yield joined()
+    held.clear()
+    trim()
 
 
 #: The patterns by which the two public vocabularies cut a text before their merges.

@@ -9,7 +9,7 @@ A byte is removed where a string of ``least`` bytes that covers it also starts e
    length of every suffix with its neighbour is streamed from the samples at the runs' ends (between them it falls by one a
    byte). Lengths of ``least`` or more mark bytes.
 4. A label too large for one block is dealt out by anchor instead; its blocks overlap by the text around each anchor, so
-   that all places of an anchor still meet. Only if the places of one anchor alone exceed ``label_bytes`` (more than 7,000 different texts
+   that all places of an anchor still meet. Only if the places of one anchor alone exceed ``label_bytes`` (thousands of different texts
    around one passage), which no block could hold at any size of input, their windows' 64-bit hashes settle them, dealt
    out by hash, which no group's size makes uneven.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from writlake.llm.common import Scratch, delta, pack, prepare, ranges, slices, undelta, unpack
+from writlake.llm.common import Scratch, delta, pack, prepare, ranges, slices, trim, undelta, unpack
 
 WINDOW = 32
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -274,6 +274,8 @@ def index_block(least: int):
         a, z = union(at, at + least)
         who = owner[a]
         shift = np.array(starts, np.int64) - (ends - sizes + 1)
+        del length, symbols, keep, owner, parts
+        trim()
         return pa.table({"key": pa.array([keys[i] for i in who], pa.int64()), "start": pa.array((a + shift[who]).astype(np.int32)), "end": pa.array((z + shift[who]).astype(np.int32))})
 
     return run
@@ -371,7 +373,7 @@ def clean_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": batch.column("key")} | {n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
-def dedup(docs: DataFrame, least: int = 400, block_bytes: int = 1_500_000, label_bytes: int = 6_000_000, kept: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 400, block_bytes: int = 1_000_000, label_bytes: int = 3_000_000, kept: bool = False) -> DataFrame:
     """A row for each row of ``doc_id``, ``text``: bytes, removed bytes, spans, and the checksum of what is left.
 
     ``kept`` adds the bytes left (null: all of the text) and the spans.
@@ -397,7 +399,7 @@ def dedup(docs: DataFrame, least: int = 400, block_bytes: int = 1_500_000, label
     return out.select("doc_id", "n_bytes", *(c.alias(n) for n, c in columns.items()))
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, block_bytes: int = 1_500_000, label_bytes: int = 6_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 400, block_bytes: int = 1_000_000, label_bytes: int = 3_000_000) -> DataFrame:
     """The rows with the marked bytes cut out of ``text`` (a character that a cut splits goes with it); all other columns stay."""
     spark = docs.sparkSession
     prepare(spark)
