@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import itertools
+import os
 import re
 import tempfile
 import uuid
@@ -175,6 +177,9 @@ PRETOKENS = {
 }
 
 
+#: Marks that are a pre-token of their own behind letters.
+END_MARKS = frozenset(".,;:!?")
+
 #: Marks a text's first piece; a text that holds it is one piece as a whole.
 FIRST = "\ufdd0\ufdd1\ufdd0"
 
@@ -187,7 +192,8 @@ class TokenIds:
     The memory of pieces is bounded by ``most`` and emptied when full; ids are the library's own.
     """
 
-    def __init__(self, path: str, boundary: str, most: int = 300_000):
+    def __init__(self, path: str, boundary: str, most: int = 350_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
@@ -197,6 +203,12 @@ class TokenIds:
         plain_bytes = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [x for x in range(256) if x not in plain_bytes]
         self.table = {x: x for x in plain_bytes} | {x: 256 + i for i, x in enumerate(rest)}
+        self.letters = np.array([self.table[x] for x in range(256)], "<u4")
+        # No text has byte 255. Where no longer token has it and words' ends are not marked, it can part words in one call of the model.
+        model, bar = self.tokenizer.model, chr(self.table[255])
+        self.bar = model.token_to_id(bar)
+        self.joins = self.bar is not None and not model.end_of_word_suffix and not model.continuing_subword_prefix and not any(bar in x for x in self.tokenizer.get_vocab(False) if len(x) > 1)
+        self.bare = Tokenizer(model)
         self.clear()
 
     def clear(self) -> None:
@@ -227,6 +239,40 @@ class TokenIds:
             out.append(ids)
         return b"".join(out)
 
+    def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the pieces, and each one's count."""
+        if not self.joins:
+            got = [self.encode_piece(x) for x in new]
+            return np.frombuffer(b"".join(got), np.int32), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        names: dict[str, int] = {}
+        which, counts = [], np.zeros(len(new), np.int64)
+        for i, piece in enumerate(new):
+            lead = ""
+            if self.boundary == "space":
+                lead, piece = ("", piece[len(FIRST) :]) if piece.startswith(FIRST) else (" ", piece)
+            elif not piece.isascii():
+                piece = self.tokenizer.normalizer.normalize_str(piece)
+            if piece.isalpha():
+                which.append(names.setdefault(lead + piece, len(names)))
+                counts[i] = 1
+            elif piece[-1:] in END_MARKS and piece[:-1].isalpha():  # the commonest other kind
+                which += (names.setdefault(lead + piece[:-1], len(names)), names.setdefault(piece[-1], len(names)))
+                counts[i] = 2
+            else:
+                parts = self.pattern.findall(lead + piece)
+                which += [names.setdefault(x, len(names)) for x in parts]
+                counts[i] = len(parts)
+        own, rows = list(names), []
+        for i in range(0, len(own), 500):
+            raw = b"\xff".join(map(str.encode, own[i : i + 500])) + b"\xff"
+            rows.append(self.letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le"))
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.array(x.ids, np.int32) for x in self.bare.encode_batch_fast(rows, add_special_tokens=False))])
+        ends = np.flatnonzero(flat == self.bar)
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])[: len(ends)]
+        place = np.array(which, np.int64)
+        sizes = (ends - starts)[place]
+        return flat[ranges(starts[place], sizes)], segment_sums(sizes, counts)
+
     def pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         texts = plain(texts)
         if self.boundary == "word":
@@ -264,14 +310,16 @@ class TokenIds:
         names = coded.dictionary.to_pylist()
         if len(self.known) + len(names) > self.most:
             self.clear()
-        new = [x for x in names if x not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            got = [self.encode_piece(x) for x in new]
-            size = np.fromiter(map(len, got), np.int64, len(got)) // 4
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), np.int32)])
+        place = np.fromiter(map(self.known.get, names, itertools.repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            new = [names[i] for i in fresh.tolist()]
+            place[fresh] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, place[fresh].tolist(), strict=True))
+            got, size = self.encode_new(new)
+            self.ids = np.concatenate([self.ids, got])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        place = place[coded.indices.to_numpy()]
         starts, sizes = self.ends[place], np.diff(self.ends)[place]
         out = self.ids[ranges(starts, sizes)]
         return out, segment_sums(sizes, counts)
