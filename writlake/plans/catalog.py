@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from writlake.functions import expressions as E
 from writlake.functions.dialect import Dialect
 from writlake.functions import lexicons as L
 from writlake.operators import documents as D
+from writlake.operators import evaluation as V
 from writlake.operators import persons as P
 from writlake.operators import records as R
 from writlake.operators import targets as T
@@ -223,6 +225,69 @@ def fallback_pages() -> Flow:
     return with_fallbacks(pages, "cleaned", "page", "combined")
 
 
+def truth_persons(d: Dialect) -> str:
+    """The reviewed persons of a document: the truth with edits, some left out and some added."""
+    one = lambda n, i, t: d.struct(full_name=n, national_id=i, person_type=t)
+    edited = one("case when k % 3 = 0 then concat(name1, ' ') when k % 5 = 1 then concat(name1, ' بك') else name1 end", "case when k % 4 = 0 then concat(id1, '9') else id1 end", "'Individual'")
+    others = d.items(one("name2", "id2", "'Individual'"), one("company", P.null(d), "'Company'"))
+    return f"case when k % 6 = 2 then {others} else {d.concat_arrays(d.items(edited), others)} end"
+
+
+def evaluated() -> Flow:
+    """Reviewed documents with the persons of the extractor and of the review."""
+    out = with_persons(clean().where(lambda d: "k % 11 <> 0"), "text").add(output=lambda d: T.dedupe_output(d, "persons"))
+    return out.add(extracted=lambda d: d.map("output", "v", d.struct(full_name="v.full_name", national_id="v.national_id", person_type="v.person_type")), reviewed=truth_persons)
+
+
+def person_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found, invented and missed persons of every reviewed document, by id and then by likeness of names."""
+    return V.detection_counts(evaluated().spark(spark, sf_dir))
+
+
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over all reviewed documents."""
+    return V.report(person_matches(spark, sf_dir), field_accuracy(exact(field_results())).spark(spark, sf_dir))
+
+
+def fixture_accuracy() -> Flow:
+    """Seven fields of every document against its truth: the four fields, and the first person's name, id and type; trimmed, two nulls agree."""
+    def first(d: Dialect, x: str) -> str:
+        return d.at(x, f"nullif(least({d.size(x)}, 1), 0)")
+
+    out = with_persons(header_fields(), "text").add(output=lambda d: T.dedupe_output(d, "persons")).add(person=lambda d: first(d, "output"))
+    pairs = (("court", "court_name.value"), ("case_no", "case_number.value"), ("book_no", "document_number.value"), ("day", "document_date.value"), ("name1", "person.full_name"), ("id1", "person.national_id"), ("'Individual'", "person.person_type"))
+    same = lambda d: " + ".join(f"case when ({E.trim(d, a)}) {'<=>' if d.spark else 'is not distinct from'} ({E.trim(d, b)}) then 1 else 0 end" for a, b in pairs)
+    return out.add(correct_fields=lambda d: d.integer(same(d))).select(KEY, "correct_fields", total_fields=lambda d: "7", accuracy=lambda d: "round(cast(correct_fields as double) / 7, 3)")
+
+
+def stage_counters() -> Flow:
+    """How many ids, and records of each step, every document has."""
+    out = with_persons(clean(), "text").add(output=lambda d: T.dedupe_output(d, "persons"))
+    n = lambda x: lambda d: d.integer(d.size(x))
+    checked = lambda d: d.integer(d.size(d.filter(T.validated(d, "output"), "o", "not o.needs_review")))
+    return out.select(KEY, national_ids=lambda d: d.integer(d.size(E.national_ids(d, "text"))), listed=n("persons_listed"), phrases=n("persons_phrase"), lines=n("persons_line2"), contexts=n("persons_context2"), all_rules=n("persons_all"), records=n("output"), sure=checked)
+
+
+def mismatch_examples() -> Flow:
+    """The first 20 fields that differ from their review, in order of documents and fields."""
+    bad = exact(field_results()).where(lambda d: "not correct").add(place=lambda d: "case field " + " ".join(f"when '{n}' then {i}" for i, n in enumerate(FIELDS)) + " end")
+    return replace(bad, spark=lambda s, d: bad.spark(s, d).orderBy("place", KEY).limit(20), duckdb=f"select * from ({bad.duckdb}) order by place, {KEY} limit 20").select("field", KEY, extracted=lambda d: "coalesce(nullif(auto_value, ''), '(empty)')", reviewed=lambda d: "coalesce(nullif(reviewed_value, ''), '(empty)')")
+
+
+def ocr_summary() -> Flow:
+    """Pages, mean scores over successful pages (3 decimals, 0 without one) and whether the second engine ran."""
+    ok = lambda x: lambda d: f"round(coalesce(avg(case when selected_engine is not null then {x} end), cast(0.0 as double)), 3)"
+    pages = picked().add(average_confidence=lambda d: "cast(page_number % 53 as double) / 64")
+    return pages.group(KEY, pages=lambda d: "count(*)", quality_score=ok("quality_score"), average_confidence=ok("average_confidence"), fallback_used=lambda d: "bool_or(fallback)")
+
+
+def edited_review_flags() -> Flow:
+    """A field that was edited needs no more review; one that was left alone keeps its flag."""
+    same = lambda d: "(case_number.value <=> case_number_new)" if d.spark else "(case_number.value is not distinct from case_number_new)"
+    edits = header_fields().add(case_number_new=lambda d: "case when k % 4 = 0 then case_no else case_number.value end")
+    return edits.select(KEY, value=lambda d: "case_number_new", needs_review=lambda d: f"(case_number.needs_review and {same(d)})")
+
+
 def attempts() -> Flow:
     """Two engines' attempts on every page, from the orders: engine, status, confidence, score."""
     page = Flow.table("orders", "o_orderkey", "o_custkey", "o_totalprice").select(document_id=lambda d: "o_custkey", page_number=lambda d: "o_orderkey", score=lambda d: "cast(o_orderkey % 97 as double) / 96", other=lambda d: "cast(o_custkey % 89 as double) / 88")
@@ -306,7 +371,8 @@ def flows() -> dict[str, Flow]:
         "best_available": raw().select(KEY, auto_case=lambda d: "case_no").join(reviewed().select(KEY, reviewed_case=lambda d: "case_number"), KEY, how="full").select(KEY, case_number=lambda d: "case when reviewed_case is not null then reviewed_case else auto_case end", reviewed=lambda d: "reviewed_case is not null"),
         "measured_accuracy": accuracy(measured(all_field_results()), KEY), "field_accuracy": field_accuracy(exact(field_results())),
         "person_match": person_results().group("state", n=lambda d: "count(*)", names=lambda d: "cast(sum(case when name_correct then 1 else 0 end) as bigint)", ids=lambda d: "cast(sum(case when id_correct then 1 else 0 end) as bigint)"),
-        "detection_prf": person_results().group(tp=lambda d: "cast(sum(case when state = 'kept' then 1 else 0 end) as bigint)", fp=lambda d: "cast(sum(case when state = 'removed' then 1 else 0 end) as bigint)", fn=lambda d: "cast(sum(case when state = 'added' then 1 else 0 end) as bigint)").add(precision=lambda d: "round(cast(tp as double) / (tp + fp), 4)", recall=lambda d: "round(cast(tp as double) / (tp + fn), 4)"),
+        "fixture_accuracy": fixture_accuracy(), "stage_counters": stage_counters(), "mismatch_examples": mismatch_examples(), "ocr_summary": ocr_summary(), "edited_review_flags": edited_review_flags(),
+        "recognised_only": made_records().explode("r", lambda d: "records").where(lambda d: "not (r.source = 'ner' and coalesce(r.national_id, '') = '')").group(KEY, shown=lambda d: "count(*)", to_review=lambda d: "cast(sum(case when r.needs_review then 1 else 0 end) as bigint)"),
         "ocr_quality": clean().select(KEY, score=lambda d: E.ocr_quality(d, "text", "cast(k % 101 as double) / 100")),
         "ocr_router_pick": picked(),
         "ocr_doc_rollup": rollup(picked()),
@@ -369,7 +435,7 @@ def full_pipeline() -> Flow:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: flow.spark for name, flow in flows().items()} | {"reading_order": reading_order}
+    return {name: flow.spark for name, flow in flows().items()} | {"reading_order": reading_order, "person_matches": person_matches, "detection_prf": evaluation_report}
 
 
 def oracle_sql() -> dict[str, str]:
