@@ -366,3 +366,80 @@ def test_media_columns(spark):
     assert got[2].status == "null" and got[3].status == got[5].status == "no movie"
     assert "cut" in got[4].status or "box" in got[4].status
     assert got[6].status != "ok"
+
+
+def test_media_that_is_not_decoded_says_so(spark):
+    payload = bytes(range(256)) * 40
+    good = isobmff.write_track(payload)
+    table = isobmff.full(b"stsz", (64).to_bytes(4, "big"), (len(payload) // 64).to_bytes(4, "big"))
+    compact = isobmff.full(b"stz2", (8).to_bytes(4, "big"), (len(payload) // 64).to_bytes(4, "big")) + b""
+    assert good.count(table) == 1 and len(compact) == len(table)
+    cut = good.replace(table, compact)  # its sizes run beyond the box
+    rows = [(1, good + isobmff.box(b"moof", isobmff.full(b"mfhd", bytes(4)))), (2, cut)]
+    got = {r.id: r.status for r in isobmff.media_columns(spark.createDataFrame(rows, "id long, content binary"), "id").collect()}
+    assert got[1] == "fragments are not decoded" and got[2] != "ok"
+    assert isobmff.compact_sizes(memoryview(bytes([0x12, 0x30])), 0, 4, 3, 2).tolist() == [1, 2, 3]
+    assert isobmff.compact_sizes(memoryview(bytes([1, 2, 3, 4])), 0, 16, 2, 4).tolist() == [258, 772]
+    assert isobmff.media_columns(spark.createDataFrame([], "id long, content binary"), "id").count() == 0
+
+
+def test_graph_recall_in_a_large_shard(spark):
+    """One shard of 3,000 nodes and a beam of 60: the search sees a small part of it."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    x[1500:] = x[:1500] + 0.3 * rng.normal(size=(1500, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in vamana.nearest(df, search_width=60).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    hits = 0
+    for q in range(0, 3000, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(got[q] & set(np.argsort(-score, kind="stable")[:5].tolist()))
+    assert hits >= 0.9 * 5 * 60
+
+
+def test_packing_limits_loss_bearing_ids(spark):
+    """Prompts bear no loss: the limit on the ids that do binds before the one on ids."""
+    rows = [(i, "word " * 40, 10) for i in range(50)] + [(60, None, None), (61, "a b", -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, answer int")
+    got = packing.pack_documents(df.coalesce(1), tokenizer_file("byte_bpe_50k.json"), loss=100, bearing="answer").collect()
+    whole = {r.doc_id: r.doc_tokens for r in got}
+    assert all(sum(r.length for r in got if r.doc_id == i) == n for i, n in whole.items())
+    used = Counter(r.sequence_id for r in got if r.doc_id < 50)
+    assert max(used.values()) <= 14 and len(used) > 50 * 41 // 1024 + 1
+
+
+def test_copies_and_null_ids(spark):
+    """Rows that repeat, also under one id, and rows without an id come out as often as they went in."""
+    text = "one two three four five six seven eight nine ten eleven twelve " * 12
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = sorted(str(r[0]) for r in rows)
+    path = tokenizer_file("word_bpe_49k.json")
+    outs = (lm_bloom.lm_scores(df), jaccard.near_duplicates(df, 3, 90), runlength_index.dedup(df, 120), isobmff.text_media_features(df), feistel.shard_rows(df, 4, 7), range_coder.written_and_read(df, path))
+    for out in outs:
+        assert sorted(str(r.doc_id) for r in out.select("doc_id").collect()) == ids
+    assert {r.n_removed for r in runlength_index.dedup(df, 120).collect()} == {0, len(text)}
+
+
+def test_one_common_passage_goes_through_the_index(spark):
+    """A passage of every text: its label exceeds a block and is dealt out by anchor."""
+    random.seed(4)
+    passage = " ".join(f"w{random.randrange(1000)}" for _ in range(60))
+    texts = {i: f"{random.random()} {passage} {random.random()}" for i in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for bound in (3_000_000, 60_000):
+        for i, r in by_id(runlength_index.dedup(df, 120, block_bytes=20_000, label_bytes=bound)).items():
+            assert (r.n_removed, r.n_spans) == brute_spans(texts, 120)[i][1:3]
+
+
+def test_cuts_make_no_new_characters(spark):
+    """What is left and right of a cut is decoded by itself."""
+    shared = "é" * 5 + "".join(chr(0x4E00 + i) for i in range(200))
+    texts = {1: "abé" + shared + "écd", 2: "xy" + shared + "zz"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in runlength_index.remove_repeats(df, 120).collect():
+        assert set(r.text) <= set(texts[r.doc_id])

@@ -86,14 +86,15 @@ def numbers(data: memoryview, at: int, count: int, end: int, kind: str = ">u4")
 
 
 def walk(data: bytes) -> tuple[list[Track], str, str]:
-    """Tracks, brand and status ("ok", "no movie", or what is damaged)."""
-    view, tracks, brand = memoryview(data), [], ""
+    """Tracks, brand and status ("ok", "no movie", what is damaged, or "fragments are not decoded": then samples are missing)."""
+    view, tracks, brand, fragments = memoryview(data), [], "", False
     try:
         stack = [(0, len(view))]
         while stack:
             start, end = stack.pop()
             inner = []
             for kind, a, b in boxes(view, start, end):
+                fragments |= kind in (b"moof", b"mvex")
                 if kind in CONTAINERS:
                     inner.append((a, b))
                     if kind == b"trak":
@@ -104,7 +105,7 @@ def walk(data: bytes) -> tuple[list[Track], str, str]:
             stack += [x for x in reversed(inner)]
     except ValueError as e:
         return tracks, brand, str(e)
-    return tracks, brand, "ok" if tracks else "no movie"
+    return tracks, brand, "no movie" if not tracks else "fragments are not decoded" if fragments else "ok"
 
 
 def fill(track: Track, view: memoryview, start: int, end: int) -> None:
@@ -112,7 +113,7 @@ def fill(track: Track, view: memoryview, start: int, end: int) -> None:
         if kind in CONTAINERS:
             fill(track, view, a, b)
             continue
-        if kind not in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"co64", b"stss"):
+        if kind not in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss"):
             continue
         if b - a < 8:
             raise ValueError(f"box {kind!r} is cut")
@@ -130,12 +131,25 @@ def fill(track: Track, view: memoryview, start: int, end: int) -> None:
         elif kind == b"stsz":
             count = int.from_bytes(view[a + 8 : a + 12], "big")
             track.sizes = np.full(count, n, np.int64) if n else numbers(view, a + 12, count, b)
+        elif kind == b"stz2":
+            count = int.from_bytes(view[a + 8 : a + 12], "big")
+            track.sizes = compact_sizes(view, a + 12, n & 255, count, b)
         elif kind == b"stss":
             track.keys = numbers(view, a + 8, n, b)
         else:
             track.chunk_offsets = numbers(view, a + 8, n, b, ">u4" if kind == b"stco" else ">u8")
 
 
+def compact_sizes(view: memoryview, at: int, bits: int, count: int, end: int) -> np.ndarray:
+    """Sample sizes of 4, 8 or 16 bits; of two in a byte the high one comes first."""
+    if bits not in (4, 8, 16):
+        raise ValueError(f"sample sizes of {bits} bits")
+    if bits == 4:
+        pairs = numbers(view, at, (count + 1) // 2, end, "u1")
+        return np.stack([pairs >> 4, pairs & 15], 1).reshape(-1)[:count]
+    return numbers(view, at, count, end, "u1" if bits == 8 else ">u2")
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     size = 8 + sum(map(len, parts))
     return (struct.pack(">I4s", size, kind) if size < 1 << 32 else struct.pack(">I4sQ", 1, kind, size + 8)) + b"".join(parts)
@@ -195,17 +209,22 @@ def media_columns(df: DataFrame, key: str, content: str = "content") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, content):
             found = [([], None, "null") if x is None else walk(x) for x in batch.column(content).to_pylist()]
-            tracks = [[{"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "key_ranges": [{"start": a, "end": b} for a, b in safe_ranges(t)]} for t in x[0]] for x in found]
-            yield pa.record_batch({key: batch.column(key), "status": pa.array([x[2] for x in found], pa.string()), "brand": pa.array([x[1] for x in found], pa.string()), "tracks": pa.array(tracks, to)})
+            tracks, status = [], []
+            for own, _, said in found:
+                ranges = [safe_ranges(t) for t in own]
+                tracks.append([{"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "key_ranges": [{"start": a, "end": b} for a, b in r or []]} for t, r in zip(own, ranges, strict=True)])
+                status.append("sample tables contradict each other" if said == "ok" and None in ranges else said)
+            yield pa.record_batch({key: batch.column(key), "status": pa.array(status, pa.string()), "brand": pa.array([x[1] for x in found], pa.string()), "tracks": pa.array(tracks, to)})
 
     return df.select(key, content).mapInArrow(run, f"`{key}` {kind}, {TRACKS}")
 
 
-def safe_ranges(track: Track) -> list[tuple[int, int]]:
+def safe_ranges(track: Track) -> list[tuple[int, int]] | None:
+    """Byte ranges of the key frames; None where the tables contradict each other."""
     try:
         return track.key_ranges()
     except (ValueError, IndexError):
-        return []
+        return None
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from writlake.llm.common import prepare, slices, token_ids
 
@@ -109,10 +110,11 @@ class Packer:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end_id: int = 0, tokens: int = 1024, segments: int = 64, loss: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end_id: int = 0, tokens: int = 1024, segments: int = 64, loss: int | None = None, with_ids: bool = False, bearing: str | None = None) -> DataFrame:
     """Pieces of all documents of ``doc_id``, ``text``: ids of a tokenizer's file and an end id, cut and packed.
 
-    Every id bears loss here, so ``loss`` (by default ``tokens``) limits ids too. ``with_ids`` adds the ids of each piece.
+    ``bearing`` names a column with how many of a document's ids, its last ones, bear loss (null: all, and never more than it has);
+    without it every id does. ``loss`` (by default ``tokens``) limits them in a sequence. ``with_ids`` adds the ids of each piece.
     """
     prepare(docs.sparkSession)
 
@@ -149,8 +151,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end
                 names.append(name)
                 ids.append(np.append(flat[a:b], end_id).astype("<u4"))
             size = counts + 1
-            packer.add(np.stack([np.arange(at, len(ids)), np.zeros(len(size), np.int64), size, size], 1))
+            some = size if bearing is None else np.minimum(size, np.array([s if x is None else max(x, 0) for x, s in zip(batch.column("bearing").to_pylist(), size.tolist(), strict=True)], np.int64))
+            packer.add(np.stack([np.arange(at, len(ids)), np.zeros(len(size), np.int64), size, some], 1))
             yield out(False)
         yield out(True)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
+    rows = docs.select("doc_id", "text", *([] if bearing is None else [F.col(bearing).cast("long").alias("bearing")]))
+    return rows.mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))

@@ -195,7 +195,7 @@ def search(k: int, width: int):
     return run
 
 
-def nearest(df: DataFrame, every: int = 50, k: int = 5, shard_nodes: int = 20_000, degree: int = 32, width: int = 64, alpha: float = 1.2, search_width: int = 200, block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, every: int = 50, k: int = 5, shard_nodes: int = 20_000, degree: int = 32, width: int = 64, alpha: float = 1.2, search_width: int = 200, block: int = 16_384) -> DataFrame:
     """The k nearest found of each row of ``vec_id``, ``embedding`` whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = df.sparkSession
     prepare(spark)
@@ -205,7 +205,9 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, shard_nodes: int = 20_00
     nodes = scratch.keep(nodes.withColumn("dim", (F.length("vector") / 8).cast("int")), "nodes")
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_nodes).cast("int").alias("shards"))  # one row for each vector length
     dealt = nodes.join(sizes, "dim").withColumn("shard", F.expr("pmod(xxhash64(vector), shards)").cast("int")).drop("shards")
-    index = scratch.keep(dealt.groupBy("dim", "shard").applyInArrow(build_shard(degree, width, alpha), SHARD), "index")
+    # Shards are few and heavy: without a number of tasks of its own the plan would build several in one task.
+    n_shards = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
+    index = scratch.keep(dealt.repartition(4 * n_shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build_shard(degree, width, alpha), SHARD), "index")
     wanted = rows.where(F.col("vec_id") % every == 0).mapInArrow(nodes_of(1 << 30), NODES)
     wanted = wanted.select(F.explode("ids").alias("query_id"), "vector").groupBy("query_id").agg(F.min("vector").alias("vector"))
     wanted = wanted.withColumns({"dim": (F.length("vector") / 8).cast("int"), "block": F.expr(f"query_id div {every} div {block}")})
