@@ -339,14 +339,14 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (ends[stops] - ends[stops - counts]).astype(np.int64)
 
 
-_tokenizers: dict[tuple[str, str], TokenIds] = {}
+_tokenizers: dict[tuple[str, str, int], TokenIds] = {}
 
 
-def token_ids(path: str, boundary: str) -> TokenIds:
+def token_ids(path: str, boundary: str, most: int = 350_000) -> TokenIds:
     """The worker's own tokenizer, loaded once."""
-    if (path, boundary) not in _tokenizers:
-        _tokenizers[path, boundary] = TokenIds(path, boundary)
-    return _tokenizers[path, boundary]
+    if (path, boundary, most) not in _tokenizers:
+        _tokenizers[path, boundary, most] = TokenIds(path, boundary, most)
+    return _tokenizers[path, boundary, most]
 
 
 def tokenizer_file(name: str) -> str:

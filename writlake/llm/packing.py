@@ -110,11 +110,12 @@ class Packer:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end_id: int = 0, tokens: int = 1024, segments: int = 64, loss: int | None = None, with_ids: bool = False, bearing: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end_id: int = 0, tokens: int = 1024, segments: int = 64, loss: int | None = None, with_ids: bool = False, bearing: str | None = None, remembered: int = 350_000, piece_bytes: int = 6 << 20) -> DataFrame:
     """Pieces of all documents of ``doc_id``, ``text``: ids of a tokenizer's file and an end id, cut and packed.
 
     ``bearing`` names a column with how many of a document's ids, its last ones, bear loss (null: all, and never more than it has);
     without it every id does. ``loss`` (by default ``tokens``) limits them in a sequence. ``with_ids`` adds the ids of each piece.
+    A worker remembers the ids of ``remembered`` pieces of text and codes ``piece_bytes`` at a time; both only trade memory for time.
     """
     prepare(docs.sparkSession)
 
@@ -143,8 +144,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end
             packer.items[:, 0] = np.searchsorted(rows, packer.items[:, 0])
             return pa.record_batch(table)
 
-        coder = token_ids(tokenizer, boundary)
-        for batch in slices(batches, most=6 << 20):
+        coder = token_ids(tokenizer, boundary, remembered)
+        for batch in slices(batches, most=piece_bytes):
             flat, counts = coder.encode(batch.column("text"))
             at, stops = len(ids), np.cumsum(counts)
             for name, a, b in zip(batch.column("doc_id").to_pylist(), (stops - counts).tolist(), stops.tolist(), strict=True):
