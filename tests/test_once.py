@@ -45,3 +45,8 @@ def test_ids_that_were_found_are_not_looked_for(spark):
         every, rest = (df.selectExpr(f"{r} as v").first().v for r in (rule(SPARK, "x"), rule(SPARK, "x", seen)))
         assert len(every) == 2
         assert rest == [v for v in every if v.national_id != "98000000001"]
+
+
+def test_measured_accuracy_extracts_once(spark):
+    plan = catalog.queries()["measured_accuracy"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"AS persons_first#", plan)) == 1
