@@ -8,6 +8,8 @@ import pytest
 from writlake.functions import expressions as E
 from writlake.functions import lexicons as L
 from writlake.functions.dialect import DUCKDB, SPARK
+from writlake.operators import documents as D
+from writlake.operators import persons as P
 from writlake.operators import targets as T
 from writlake.plans import catalog
 
@@ -50,3 +52,8 @@ def test_ids_that_were_found_are_not_looked_for(spark):
 def test_measured_accuracy_extracts_once(spark):
     plan = catalog.queries()["measured_accuracy"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"AS persons_first#", plan)) == 1
+
+
+def test_lines_and_texts_are_computed_once():
+    assert P.candidate_lines(SPARK, "made_somewhere").count("made_somewhere") == 1
+    assert D.known_court(SPARK, "made_somewhere").count("made_somewhere") <= 2
