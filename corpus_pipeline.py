@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixture in sequences of 1024 tokens; its workers have other stages behind them, so that they remember less."""
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), remembered=200_000, piece_bytes=3 << 20)
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), remembered=200_000, piece_bytes=3 << 20, forget=True)
 
 
 STAGES = [

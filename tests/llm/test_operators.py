@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -443,3 +444,31 @@ def test_cuts_make_no_new_characters(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for r in runlength_index.remove_repeats(df, 120).collect():
         assert set(r.text) <= set(texts[r.doc_id])
+
+
+def test_index_block_memory():
+    """A block's index takes 80 bytes for each of the text's at most: blocks may have 3 MB, and a worker a few hundred."""
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(97, 123, 700, np.uint8).tobytes() for _ in range(200)]
+    parts += [x[:250] + b"#" + x[250:] for x in reversed(parts)]
+    table = pa.table({"block": [0] * 400, "payload": pa.array(parts, pa.binary()), "key": list(range(400)), "start": pa.array([0] * 400, pa.int32())})
+    tracemalloc.start()
+    got = runlength_index.index_block(240)(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * sum(map(len, parts))
+    want = [(i, s, e) for i in range(400) for s, e in ([(0, 700)] if i < 200 else [(0, 250), (251, 701)])]
+    assert sorted((x["key"], x["start"], x["end"]) for x in got) == want
+
+
+def test_packing_forgets(spark, docs):
+    """With ``forget`` the workers hold no pieces behind a task."""
+    packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), remembered=12_345, forget=True).count()
+
+    def held(batches):
+        from writlake.llm import common
+
+        list(batches)
+        yield pa.record_batch({"n": pa.array([sum(len(x.known) for (_, _, most), x in common._tokenizers.items() if most == 12_345)], pa.int64())})
+
+    assert {r.n for r in spark.range(0, 400, 1, 8).mapInArrow(held, "n long").collect()} == {0}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from writlake.llm.common import prepare, slices, token_ids
+from writlake.llm.common import prepare, slices, token_ids, trim
 
 
 @dataclass
@@ -110,12 +110,13 @@ class Packer:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end_id: int = 0, tokens: int = 1024, segments: int = 64, loss: int | None = None, with_ids: bool = False, bearing: str | None = None, remembered: int = 350_000, piece_bytes: int = 6 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end_id: int = 0, tokens: int = 1024, segments: int = 64, loss: int | None = None, with_ids: bool = False, bearing: str | None = None, remembered: int = 350_000, piece_bytes: int = 6 << 20, forget: bool = False) -> DataFrame:
     """Pieces of all documents of ``doc_id``, ``text``: ids of a tokenizer's file and an end id, cut and packed.
 
     ``bearing`` names a column with how many of a document's ids, its last ones, bear loss (null: all, and never more than it has);
     without it every id does. ``loss`` (by default ``tokens``) limits them in a sequence. ``with_ids`` adds the ids of each piece.
     A worker remembers the ids of ``remembered`` pieces of text and codes ``piece_bytes`` at a time; both only trade memory for time.
+    With ``forget`` it keeps none of them when a task ends, for workers that go on to other stages.
     """
     prepare(docs.sparkSession)
 
@@ -156,6 +157,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, boundary: str = "space", end
             packer.add(np.stack([np.arange(at, len(ids)), np.zeros(len(size), np.int64), size, some], 1))
             yield out(False)
         yield out(True)
+        if forget:
+            coder.clear()
+            trim()
 
     rows = docs.select("doc_id", "text", *([] if bearing is None else [F.col(bearing).cast("long").alias("bearing")]))
     return rows.mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
