@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from writlake.llm import feistel, isobmff, jaccard, lm_bloom, mixing, packing, range_coder, runlength_index, toxicity, vamana
-from writlake.llm.common import TokenIds, tokenizer_file
+from writlake.llm.common import Scratch, TokenIds, tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -472,3 +472,22 @@ def test_packing_forgets(spark, docs):
         yield pa.record_batch({"n": pa.array([sum(len(x.known) for (_, _, most), x in common._tokenizers.items() if most == 12_345)], pa.int64())})
 
     assert {r.n for r in spark.range(0, 400, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_segments_hold_their_bytes(spark):
+    """A segment's texts have ``segment_bytes`` at most; two that are smaller are not joined beyond it."""
+    df = spark.createDataFrame([(i, "ab c" * 1500) for i in range(12)], "doc_id long, text string").coalesce(1)
+    segments = range_coder.write_ids(df, Scratch(spark, "ids"), tokenizer_file("word_bpe_49k.json"), segment_bytes=10_000).collect()
+    assert {r.n_docs for r in segments} == {1} and len(segments) == 12
+
+
+def test_word_ids_of_odd_words():
+    coder = TokenIds(tokenizer_file("word_bpe_49k.json"), "word")
+    texts = ["a\x01é \x01", "</w> x</w>y é</w>", "é ́e ÀÉ ΑΣ ﬁ 한", "", "ÿ \xa0 a b\u0085", "12é34 's don't été's", "\U0001f600\U0001f600 İi ǅ"] * 90
+    flat, counts = coder.encode(pa.array(texts))
+    want = [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert counts.tolist() == list(map(len, want)) and flat.tolist() == [x for y in want for x in y]
+    # The same words where no id ends words: each id's own word tells.
+    slow = TokenIds(tokenizer_file("word_bpe_49k.json"), "word")
+    slow.lasts[:] = False
+    assert slow.encode(pa.array(texts))[0].tolist() == flat.tolist()

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from writlake.llm.common import Scratch, prepare, slices, token_ids
+from writlake.llm.common import Scratch, prepare, slices, token_ids, trim
 
-MAGIC, VERSION = b"WLID", 1
-SLOTS, MIX, COUNTS, REFRESH = 4096, 512, 2048, 64
+MAGIC, VERSION = b"WLID", 2
+SLOTS, MIX, COUNTS, REFRESH = 2048, 512, 2048, 64
 U = np.uint64
 
 
@@ -40,29 +40,28 @@ class Model:
         self.classes = 1 << max(id_bits - self.low_bits, 0)
         self.total_bits = 20 + self.low_bits  # log2(MIX * COUNTS) + low_bits
         self.table = np.zeros((2, lanes * SLOTS), np.int32)
-        self.base = np.arange(lanes) * SLOTS
-        self.hits, self.tries = np.zeros((2, 2, lanes), np.int64)
-        self.last = np.zeros((2, lanes), np.int64)
+        self.lane = np.arange(lanes, dtype=np.int32)
+        self.base = self.lane * np.int32(SLOTS)
+        self.hits, self.tries = np.zeros((2, 2, lanes), np.int32)
+        self.last = np.zeros((2, lanes), np.int32)
         self.counts = np.zeros((lanes, self.classes), np.int32)
-        self.lane = np.arange(lanes)
         self.steps = 0
         self.refresh()
 
     def refresh(self) -> None:
         """Order-0 shares from the counts so far, each 1 at least."""
-        total = np.maximum(self.counts.sum(1, keepdims=True), 1)
-        share = 1 + self.counts.astype(np.int64) * (COUNTS - self.classes) // total
-        share[:, 0] += COUNTS - share.sum(1)
-        self.share = share
-        self.below = np.zeros((len(share), self.classes + 1), np.int64)
-        np.cumsum(share, 1, out=self.below[:, 1:])
+        share = (1 + self.counts.astype(np.int64) * (COUNTS - self.classes) // max(self.steps, 1)).astype(np.int32)
+        share[:, 0] += COUNTS - share.sum(1, dtype=np.int32)
+        self.share = share.reshape(-1)
+        self.below = (np.cumsum(share, 1, dtype=np.int32) - share).reshape(-1)
+        self.kind_of = None
 
     def predict(self) -> None:
         """Predicted ids (-1: none) and the weights of the three orders, of MIX in all."""
         a, b = self.last
         self.at1 = self.base + ((a * 40503 >> 4) & (SLOTS - 1))
         self.at2 = self.base + (((a * 40503) ^ (b * 30011 >> 3)) & (SLOTS - 1))
-        self.id1, self.id2 = self.table[0][self.at1] - 1, self.table[1][self.at2] - 1
+        self.id1, self.id2 = self.table[0].take(self.at1) - 1, self.table[1].take(self.at2) - 1
         self.has2 = self.id2 >= 0
         self.has1 = (self.id1 >= 0) & (self.id1 != self.id2)
         h, n = self.hits, self.tries
@@ -75,8 +74,9 @@ class Model:
         """Start and size of the ids' parts of 2 ** total_bits."""
         unit = COUNTS << self.low_bits
         kind = ids >> self.low_bits
-        share = self.share[self.lane, kind]
-        start = (self.below[self.lane, kind] << self.low_bits) + (ids & ((1 << self.low_bits) - 1)) * share
+        cell = self.lane * np.int32(self.classes) + kind
+        share = self.share.take(cell)
+        start = (self.below.take(cell) << self.low_bits) + (ids & ((1 << self.low_bits) - 1)) * share
         start, size = (MIX - self.w0) * unit + self.w0 * start, self.w0 * share
         one = self.has1 & (ids == self.id1)
         start, size = np.where(one, self.w2 * unit, start), np.where(one, self.w1 * unit, size)
@@ -87,12 +87,11 @@ class Model:
         """The ids whose parts hold the values."""
         unit = COUNTS << self.low_bits
         inner = np.maximum(value - (MIX - self.w0) * unit, 0) // self.w0
-        part = inner >> self.low_bits
-        kind, step = np.zeros(len(value), np.int64), self.classes
-        while step > 1:
-            step //= 2
-            kind += step * (self.below[self.lane, kind + step] <= part)
-        ids = (kind << self.low_bits) + (inner - (self.below[self.lane, kind] << self.low_bits)) // self.share[self.lane, kind]
+        if self.kind_of is None:  # the class of each of a lane's COUNTS parts, until the shares change
+            self.kind_of = np.repeat(np.tile(np.arange(self.classes, dtype=np.int16), len(self.lane)), self.share[: len(self.lane) * self.classes])
+        kind = self.kind_of.take(self.lane * np.int32(COUNTS) + (inner >> self.low_bits)).astype(np.int32)
+        cell = self.lane * np.int32(self.classes) + kind
+        ids = (kind << self.low_bits) + (inner - (self.below.take(cell) << self.low_bits)) // self.share.take(cell)
         ids = np.where(value < (MIX - self.w0) * unit, self.id1, ids)
         return np.where(value < self.w2 * unit, self.id2, ids)
 
@@ -116,7 +115,7 @@ class Model:
 
     def narrow(self, lanes: int) -> None:
         """Only the first lanes go on: the last block may be short."""
-        for name in ("base", "lane", "counts", "share", "below"):
+        for name in ("base", "lane", "counts"):
             setattr(self, name, getattr(self, name)[:lanes])
         for name in ("hits", "tries", "last"):
             setattr(self, name, getattr(self, name)[..., :lanes])
@@ -127,9 +126,10 @@ def encode_blocks(ids: np.ndarray, block: int, id_bits: int) -> list[bytes]:
     n, lanes = len(ids), -(-len(ids) // block)
     if not n:
         return []
-    full = np.zeros(block * lanes, np.int64)
+    full = np.zeros(block * lanes, np.int32)
     full[:n] = ids
     grid = np.ascontiguousarray(full.reshape(lanes, block).T)
+    del full
     model = Model(lanes, id_bits)
     bits = U(model.total_bits)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 63) - 1, np.uint64)
@@ -165,7 +165,7 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, id_bits: int) -> np.
     """The ids of all blocks; only the last may be shorter than the first."""
     lanes = len(payloads)
     if not lanes:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     block, short = int(sizes[0]), int(sizes[-1])
     model = Model(lanes, id_bits)
     bits = U(model.total_bits)
@@ -177,7 +177,7 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, id_bits: int) -> np.
     # From here on the code takes 32 bits that start at the last one of a word.
     words = ((words[:, 1:-1] & U(1)) << U(31)) | (words[:, 2:] >> U(1))
     span, at = np.full(lanes, (1 << 63) - 1, np.uint64), np.zeros(lanes, np.int64)
-    grid = np.zeros((block, lanes), np.int64)
+    grid = np.zeros((block, lanes), np.int32)
     for t in range(block):
         if t == short and short < block:
             model.narrow(lanes - 1)
@@ -186,7 +186,7 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, id_bits: int) -> np.
             break
         model.predict()
         unit = span[:m] >> bits
-        value = np.minimum(code[:m] // unit, U((1 << model.total_bits) - 1)).astype(np.int64)
+        value = np.minimum(code[:m] // unit, U((1 << model.total_bits) - 1)).astype(np.int32)
         ids = model.find(value)
         start, size = model.interval(ids)
         code[:m] -= unit * start.astype(np.uint64)
@@ -248,10 +248,10 @@ def write_ids(docs: DataFrame, scratch: Scratch, tokenizer: str, boundary: str =
         from pyspark import TaskContext
 
         part, coder = TaskContext.get().partitionId(), token_ids(tokenizer, boundary)
-        for number, batch in enumerate(joined(batches, segment_bytes)):
+        for number, batch in enumerate(slices(batches, most=segment_bytes)):
             flat, counts = coder.encode(batch.column("text"))
             stops = np.cumsum(counts + 1) - 1
-            ids = np.full(len(flat) + len(counts), end_id, np.int64)
+            ids = np.full(len(flat) + len(counts), end_id, np.int32)
             body = np.ones(len(ids), bool)
             body[stops] = False
             ids[body] = flat
@@ -262,20 +262,6 @@ def write_ids(docs: DataFrame, scratch: Scratch, tokenizer: str, boundary: str =
     return scratch.keep(ranged.mapInArrow(run, SEGMENTS), "segments")
 
 
-def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Record batches cut and joined to about ``most`` bytes of text."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in slices(batches, most=most):
-        held.append(batch)
-        size += batch.column("text").nbytes
-        if size >= most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held and sum(x.num_rows for x in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def read_ids(segments: DataFrame, with_ids: bool = False) -> DataFrame:
     """Per document what the segments hold: its place among all ids, its count and checksum (and its ids)."""
     prepare(segments.sparkSession)
@@ -295,6 +281,8 @@ def read_ids(segments: DataFrame, with_ids: bool = False) -> DataFrame:
                 if with_ids:
                     table["ids"] = pa.array([x.tolist() for x in cut], pa.list_(pa.int64()))
                 yield pa.record_batch(table)
+                del data, ids, cut, table
+                trim()
 
     return segments.select("part", "number", "segment").join(F.broadcast(starts), ["part", "number"]).mapInArrow(run, ROWS + (", ids array<long>" if with_ids else ""))
 
